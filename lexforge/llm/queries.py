@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexforge.llm.quality_rules import op8_risk_controlled_rules
+from lexforge.llm.sharding import op1_histogram_sort
 
-QUERIES = {f.__name__: f for f in (op8_risk_controlled_rules,)}
+QUERIES = {f.__name__: f for f in (op1_histogram_sort, op8_risk_controlled_rules)}
 SQL: dict[str, str] = {}

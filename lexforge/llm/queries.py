@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexforge.llm.packing import op9_residual_packing
 from lexforge.llm.quality_rules import op8_risk_controlled_rules
 from lexforge.llm.sharding import op1_histogram_sort
 

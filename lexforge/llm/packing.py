@@ -25,7 +25,7 @@ CAPACITY = 2048
 FAN_IN = 16
 SLACK = 16
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-_CACHE = 400_000
+_CACHE = 600_000
 BROADCAST_BINS = 1 << 18
 
 
@@ -51,20 +51,27 @@ class WordTokenizer:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: set[str]) -> None:
+        """Encode words in one call, a line each. A word is never split further, so ``word_ids`` tells whose an id is."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > _CACHE:
+            self.known.clear()
+            new = list(words)
+        if new:
+            e = self.tokenizer.encode("\n".join(new), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))).tolist()
+            self.known.update(zip(new, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """As many texts as fit in memory with their words."""
+        split = [self.pattern.findall(t.lower()) if self.plain.match(t) else None for t in texts]
+        self.learn({w for words in split if words for w in words})
+        find = self.known.__getitem__
+        return [(b"".join(map(find, words)) if words is not None else self.whole(t)) + b"\0\0\0\0" for t, words in zip(texts, split, strict=True)]
+
     def ids(self, text: str) -> bytes:
-        if not self.plain.match(text):
-            return self.whole(text) + b"\0\0\0\0"
-        words = self.pattern.findall(text.lower())
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words)) + b"\0\0\0\0"
-        except KeyError:
-            if len(known) > _CACHE:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words)) + b"\0\0\0\0"
+        return self.many([text])[0]
 
 
 def best_fit(sizes, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -103,8 +110,8 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int)
     tokenizer = WordTokenizer(path)
     docs, piece, start, length, crc = [], [], [], [], []
     for batch in chunks(batches):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = memoryview(tokenizer.ids(text or ""))
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.many([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            ids = memoryview(ids)
             for k in range(0, len(ids) // 4, capacity):
                 part = ids[4 * k : 4 * (k + capacity)]
                 docs.append(doc), piece.append(k // capacity), start.append(k), length.append(len(part) // 4), crc.append(zlib.crc32(part))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from lexforge.llm.byte_bpe import op7_duckdb_bpe
 from lexforge.llm.packing import op9_residual_packing
 from lexforge.llm.quality_rules import op8_risk_controlled_rules
 from lexforge.llm.sharding import op1_histogram_sort
 
-QUERIES = {f.__name__: f for f in (op1_histogram_sort, op8_risk_controlled_rules)}
+QUERIES = {f.__name__: f for f in (op1_histogram_sort, op7_duckdb_bpe, op8_risk_controlled_rules)}
 SQL: dict[str, str] = {}

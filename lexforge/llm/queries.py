@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from lexforge.llm.byte_bpe import op7_duckdb_bpe
 from lexforge.llm.near_dedup import op6_bagminhash
+from lexforge.llm.one_bit_search import op2_one_bit_codes
 from lexforge.llm.packing import op9_residual_packing
 from lexforge.llm.quality_rules import op8_risk_controlled_rules
 from lexforge.llm.sharding import op1_histogram_sort
 
-QUERIES = {f.__name__: f for f in (op1_histogram_sort, op6_bagminhash, op7_duckdb_bpe, op8_risk_controlled_rules, op9_residual_packing)}
+QUERIES = {f.__name__: f for f in (op1_histogram_sort, op2_one_bit_codes, op6_bagminhash, op7_duckdb_bpe, op8_risk_controlled_rules, op9_residual_packing)}
 SQL: dict[str, str] = {}

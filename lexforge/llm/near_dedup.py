@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.shared import bytes_of, chunks, hashed_words, mix, table, written
+from lexforge.llm.shared import bytes_of, chunks, folded, hashed_words, mix, table, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -274,6 +274,12 @@ def classed(docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns, F.coalesce("__nd_least", "doc_id", -1 - F.col("__nd_row")).alias("class_id"), (F.col("__nd_row") == F.coalesce("__nd_root", "__nd_row")).alias("first"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each class of ``docs``, with all its columns, whatever their names."""
+    narrow, back = folded(docs, ("doc_id", "text"))
+    return classed(narrow).filter("first").select(*back)
+
+
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and whether the row is the one of its class that stays."""
     return classed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "first")

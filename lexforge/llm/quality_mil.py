@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.shared import chunks, mix, table, written
+from lexforge.llm.shared import chunks, folded, mix, table, written
 
 PASSAGE = 64
 PAIRS = 128
@@ -206,5 +206,6 @@ def op5_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject."""
-    return scored(docs, fitted(docs, labels)).filter(F.col("__score") >= CUT).select(*docs.columns)
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns, whatever their names."""
+    narrow, back = folded(docs, ("doc_id", "text"))
+    return scored(narrow, fitted(narrow, labels)).filter(F.col("__score") >= CUT).select(*back)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexforge.llm.shared import let, table, written
+from lexforge.llm.shared import folded, let, table, written
 
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
@@ -126,23 +126,36 @@ def cutoffs(calibration: DataFrame, risk: float = RISK, level: float = LEVEL) ->
     return best.select("stratum", "rule", "b.cutoff", "b.rejected", F.col("b.n").alias("good"), "b.p_value")
 
 
-def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, stratum: str = "lang") -> DataFrame:
-    """doc_id, the counts, base_failed and kept for every row of ``docs``.
+def _verdicts(rows: DataFrame, labels: DataFrame, risk: float, level: float) -> DataFrame:
+    """``rows`` (doc_id, __stratum and others; written, with counts and steps) and ``kept``.
 
-    Null or empty texts have no words and fail the base rule. A null stratum is a stratum of its own; one without
-    enough labels has no certified cutoff and keeps all that the base rule keeps. Repeated rows are judged alike;
-    labels that are null take no part and of several labels of a document the largest counts. Empty tables give no rows.
+    The cutoffs go to the rows, a few for each stratum; rows aren't shuffled.
     """
-    stats = written(counted(docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("\0none")).alias("stratum")), ["doc_id", "stratum"]).withColumns(steps()), "counts")
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("long").alias("good"))
-    found = written(cutoffs(stats.filter(~F.col("base_failed")).join(marks, "doc_id"), risk, level), "cutoffs")
-    wide = found.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    wide = wide.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    holdout = rows.filter(~F.col("base_failed")).select("doc_id", F.col("__stratum").alias("stratum"), *RULES).join(marks, "doc_id")
+    found = written(cutoffs(holdout, risk, level), "cutoffs")
+    wide = found.groupBy(F.col("stratum").alias("__stratum")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    wide = wide.select("__stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
     few = found.select("stratum").distinct().count() <= BROADCAST_STRATA
     rejects = F.lit(False)
     for r in RULES:
         rejects = rejects | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return stats.join(F.broadcast(wide) if few else wide, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejects)
+    return rows.join(F.broadcast(wide) if few else wide, "__stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejects)
+
+
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("\0none")).alias("__stratum")
+
+
+def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, stratum: str = "lang") -> DataFrame:
+    """doc_id, the counts, base_failed and kept for every row of ``docs``.
+
+    Null or empty texts have no words and fail the base rule. A null stratum is a stratum of its own; one without
+    enough labels has no certified cutoff and keeps all that the base rule keeps. Repeated rows are judged alike;
+    labels that are null take no part and of several labels of a document the largest counts. Empty tables give no rows.
+    """
+    rows = docs.select("doc_id", "text", _stratum(stratum))
+    return _verdicts(written(counted(rows, ["doc_id", "__stratum"]).withColumns(steps()), "counts"), labels, risk, level)
 
 
 def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,21 +163,11 @@ def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names; see ``judged``.
 
-    Rows are judged where they stand: the cutoffs go to the rows, so documents are not joined or shuffled again.
+    Rows are judged where they stand: documents are written once with their counts, and neither joined nor shuffled again.
     """
-    labels = table(spark, sf_dir, "labels")
-    keyed = docs.withColumn("__stratum", F.coalesce(F.col("lang").cast("string"), F.lit("\0none")))
-    whole = counted(keyed, [*keyed.columns]).withColumns(steps())
-    marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("long").alias("good"))
-    stats = written(whole, "rule-stats")
-    found = written(cutoffs(stats.filter(~F.col("base_failed")).select("doc_id", F.col("__stratum").alias("stratum"), *RULES).join(marks, "doc_id")), "cutoffs")
-    wide = found.groupBy(F.col("stratum").alias("__stratum")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    wide = wide.select("__stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    few = found.select("stratum").distinct().count() <= BROADCAST_STRATA
-    rejects = F.lit(False)
-    for r in RULES:
-        rejects = rejects | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return stats.join(F.broadcast(wide) if few else wide, "__stratum", "left").filter(~F.col("base_failed") & ~rejects).select(*docs.columns)
+    narrow, back = folded(docs.withColumn("__stratum", _stratum(stratum)), ("doc_id", "text", "__stratum"))
+    rows = written(counted(narrow, [*narrow.columns]).withColumns(steps()), "rule-stats")
+    return _verdicts(rows, labels, risk, level).filter("kept").select(*back).drop("__stratum")

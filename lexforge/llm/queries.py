@@ -6,11 +6,16 @@ from lexforge.llm.byte_bpe import op7_duckdb_bpe
 from lexforge.llm.near_dedup import op6_bagminhash
 from lexforge.llm.one_bit_search import op2_one_bit_codes
 from lexforge.llm.packing import op9_residual_packing
-from lexforge.llm.quality_rules import op8_risk_controlled_rules
 from lexforge.llm.quality_mil import op5_attention_mil
+from lexforge.llm.quality_rules import op8_risk_controlled_rules
 from lexforge.llm.role_repair import op3_role_repair
 from lexforge.llm.sanitise import op4_information_sanitise
 from lexforge.llm.sharding import op1_histogram_sort
+from lexforge.llm.toxicity import op10_kneser_ney
 
-QUERIES = {f.__name__: f for f in (op1_histogram_sort, op2_one_bit_codes, op3_role_repair, op4_information_sanitise, op5_attention_mil, op6_bagminhash, op7_duckdb_bpe, op8_risk_controlled_rules, op9_residual_packing)}
+_ALL = (
+    op1_histogram_sort, op2_one_bit_codes, op3_role_repair, op4_information_sanitise, op5_attention_mil,
+    op6_bagminhash, op7_duckdb_bpe, op8_risk_controlled_rules, op9_residual_packing, op10_kneser_ney,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.shared import chunks, table, written
+from lexforge.llm.shared import chunks, folded, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
@@ -192,6 +192,13 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, tex
     return work.mapInArrow(lambda b: _sanitise(b, text_out), T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in _ADDED)]))
 
 
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with sanitised texts; a column ``n_chars`` follows the new text, all others stay, whatever their names."""
+    narrow, back = folded(docs, ("text",))
+    out = sanitised(narrow).drop("text").withColumnRenamed("__pii_text", "text")
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else b for c, b in zip(docs.columns, back, strict=True)])
+
+
 def op4_information_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitised(table(spark, sf_dir, "documents").select("doc_id", "text"), text_out=False)
     return out.select("doc_id", *[F.col(f"__pii_n_{k}").alias(f"n_{k}") for k in KINDS], F.col("__pii_base").alias("base_sha256"), F.col("__pii_spans").alias("spans"))

@@ -48,9 +48,12 @@ class _Cell:
     def step(self) -> int:
         return min(DIGIT, BITS - self.bits)
 
+    def key(self) -> Column:
+        return F.col(KEYS[len(self.fixed)])
+
     def digit(self) -> Column:
         shift = BITS - self.bits - self.step()
-        return F.shiftright(F.col(KEYS[len(self.fixed)]), shift).bitwiseAND(F.lit((1 << self.step()) - 1).cast("long"))
+        return F.shiftright(self.key(), shift).bitwiseAND(F.lit((1 << self.step()) - 1).cast("long"))
 
     def start(self) -> tuple[int, ...]:
         if len(self.fixed) == len(KEYS):
@@ -71,19 +74,23 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
     found: dict[int, tuple[int, ...]] = {}
     open_cells = [_Cell(wanted=list(goals))] if total else []
     while open_cells:
-        which, digit = F.lit(None).cast("int"), F.lit(None).cast("long")
+        which = F.lit(None).cast("int")
         for i, c in reversed(list(enumerate(open_cells))):
-            which, digit = F.when(c.holds(), F.lit(i)).otherwise(which), F.when(c.holds(), c.digit()).otherwise(digit)
-        counts = rows.select(which.alias("cell"), digit.alias("digit"), "size").filter("cell IS NOT NULL").groupBy("cell", "digit").agg(F.sum("size").alias("bytes"))
-        by: dict[int, list[tuple[int, int]]] = {}
+            which = F.when(c.holds(), F.lit(i)).otherwise(which)
+        chosen = lambda of: F.element_at(F.array(*[of(c) for c in open_cells]), F.col("cell") + 1)
+        held = rows.withColumn("cell", which).filter("cell IS NOT NULL").select("cell", "size", chosen(_Cell.digit).alias("digit"), chosen(_Cell.key).alias("key"))
+        counts = held.groupBy("cell", "digit").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+        by: dict[int, list[tuple[int, int, int | None]]] = {}
         for r in counts.collect():
-            by.setdefault(r["cell"], []).append((r["digit"], r["bytes"]))
+            by.setdefault(r["cell"], []).append((r["digit"], r["bytes"], r["low"] if r["low"] == r["high"] else None))
         deeper = []
         for i, c in enumerate(open_cells):
             below = c.below
             parts = []
-            for d, n in sorted(by.get(i, [])):
-                parts.append((c.inner(d, below), below, below + n))
+            for d, n, only in sorted(by.get(i, []), key=lambda x: x[0]):
+                # a cell with one key is known to its last bit
+                part = c.inner(d, below) if only is None else _Cell((*c.fixed, only), 0, 0, below)
+                parts.append((part, below, below + n))
                 below += n
             for goal in c.wanted:
                 k = next((j for j, (_, _, end) in enumerate(parts) if goal < end), len(parts) - 1)

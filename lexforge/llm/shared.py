@@ -57,6 +57,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` as the columns ``keep`` and one struct ``__rest`` of all others, and the columns that bring ``docs`` back.
+
+    An operator that adds columns of its own can't clash with columns in the struct.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
+    narrow = docs.select(*keep, F.struct(F.lit(True).alias("__one"), *rest).alias("__rest"))
+    return narrow, [F.col(c) if c in keep else F.col("__rest").getField(c).alias(c) for c in docs.columns]
+
+
 # ---- Arrow batches -------------------------------------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15)

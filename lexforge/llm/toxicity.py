@@ -119,12 +119,15 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
         scale[-1] = 1.0
         z, w = x[:, use] / scale, np.zeros(len(use))
         w[-1] = prior
-        for _ in range(50):
+        keep = np.append(np.full(len(use) - 1, ridge * len(y)), 0.0)
+        loss = lambda w: np.logaddexp(0, z @ w).sum() - y @ (z @ w) + 0.5 * keep @ (w * w)  # noqa: E731, B023
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            keep = np.append(np.full(len(use) - 1, ridge * len(y)), 1e-9)
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(keep + 1e-9), z.T @ (p - y) + keep * np.append(w[:-1], 0))
-            w = w - np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-8:
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(keep + 1e-9), z.T @ (p - y) + keep * w)
+            # classes that a line parts make full steps overshoot
+            part = next((k for k in 0.5 ** np.arange(40) if loss(w - k * step) < loss(w)), 0)
+            w = w - part * step
+            if part * np.abs(step).max() < 1e-8:
                 break
         if (w[:-1] >= 0).all():
             break

@@ -30,6 +30,8 @@ SIGNIFICANT = 15.0
 #: Expressions in the model at most, those of greatest G first; the rest is left to shared counts.
 EXPRESSIONS = 1 << 18
 CALIBRATION = 20_000
+#: Labelled ids that are broadcast at most (72 MB); with more, texts are joined with them by a shuffle.
+MARKS = 1 << 23
 CUT = 0.5
 _CONTEXT = 24
 
@@ -48,6 +50,17 @@ def pairs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (((h >> np.uint64(_CONTEXT)) << np.uint64(_CONTEXT)) | before).view(np.int64), earlier, n
 
 
+def _marked(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """The texts (``text``, ``y``) whose doc_id is among the sorted ids of ``known``."""
+    ids, marks = known.value
+    for batch in batches:
+        doc = batch.column("doc_id")
+        mine = doc.fill_null(0).to_numpy()
+        at = np.minimum(np.searchsorted(ids, mine), max(0, len(ids) - 1))
+        hit = (ids[at] == mine) & doc.is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(mine), bool)
+        yield pa.RecordBatch.from_arrays([batch.column("text").filter(pa.array(hit)), pa.array(marks[at[hit]], pa.int8())], names=["text", "y"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
@@ -144,8 +157,15 @@ def fitted(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> KneserNey
     """Count, weigh and calibrate. The driver gets at most EXPRESSIONS words, as many pairs, and CALIBRATION rows of two numbers."""
     spark = docs.sparkSession
     marks = labels.filter(F.col(name).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(name).cast("tinyint").alias("y"))
-    marked = docs.select("doc_id", "text").join(marks.filter(fold() > 0), "doc_id").select("doc_id", "text", "y", fold().alias("fold"))
-    counted = marked.filter("fold < 4").select("text", "y").mapInArrow(_count, "pair long, u short, y tinyint")
+    learnt = written(marks.filter((fold() > 0) & (fold() < 4)).select(F.col("doc_id").cast("long").alias("doc_id"), "y"), "marks")
+    if learnt.count() <= MARKS:
+        # ids and marks go to the texts, 9 bytes each, so texts don't move
+        rows = learnt.orderBy("doc_id").toArrow()
+        known = spark.sparkContext.broadcast((rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()))
+        slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        counted = slim.mapInArrow(lambda b: _count(_marked(b, known)), "pair long, u short, y tinyint")
+    else:
+        counted = docs.select("doc_id", "text").join(learnt, "doc_id").select("text", "y").mapInArrow(_count, "pair long, u short, y tinyint")
     # dealt out by pair once, for both groupings
     distinct = counted.repartition("pair").groupBy("pair", "u").agg(F.max("y").cast("long").alias("t"), (1 - F.min("y")).cast("long").alias("p"))
     pairs = distinct.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.count("*").alias("n"))

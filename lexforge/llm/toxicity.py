@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from lexforge.llm.shared import bytes_of, chunks, hashed_words, table, written
 
 SIGNIFICANT = 15.0
-#: Expressions in the model at most, those of greatest G first; the rest is left to shared counts.
-EXPRESSIONS = 1 << 18
+#: Expressions that are broadcast at most (16 bytes each), the most widespread first; texts are joined with the others by a shuffle.
+HEAD = 1 << 18
+#: Words or contexts that are broadcast at most when the model is made.
+VOCABULARY = 1 << 17
+#: Ratios are summed as integers in this unit, so that no order of summing changes a score.
+UNIT = 2.0**-32
 CALIBRATION = 20_000
 #: Labelled ids that are broadcast at most (72 MB); with more, texts are joined with them by a shuffle.
 MARKS = 1 << 23
@@ -91,29 +95,59 @@ def g_statistic(toxic: Column, plain: Column, all_toxic: float, all_plain: float
 
 @dataclass
 class KneserNey:
-    """What scoring needs: sorted expressions and the log-likelihood ratio of each."""
+    """What scoring needs: what each expression adds to a text's log-likelihood ratio, in UNITs.
 
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    word_ratio: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_ratio: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    An expression is a word (40 bits) or a pair; a pair adds what it tells beyond its word. A text's ratio is the sum over its words and pairs.
+    """
+
+    head: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    head_value: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: All expressions (``key``, ``value``), if they are more than the head.
+    table: DataFrame | None = None
     #: Weights of (ratio / words, ratio / sqrt(words), 1).
     weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, -40.0]))
 
-    def ratios(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The log-likelihood ratio of each text, toxic against ordinary, and its words."""
-        keys, _, n = pairs_of(texts)
-        value = np.zeros(len(keys))
-        for table_, ratio, mine in ((self.words, self.word_ratio, keys >> _CONTEXT), (self.pairs, self.pair_ratio, keys)):
-            if len(table_):
-                at = np.minimum(np.searchsorted(table_, mine), len(table_) - 1)
-                value = np.where(table_[at] == mine, ratio[at], value)
-        ends = np.cumsum(np.append(0.0, value))
-        cuts = np.append(0, np.cumsum(n))
-        return ends[cuts[1:]] - ends[cuts[:-1]], n
 
-    def scores(self, ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(normalised(ratio, n) @ self.weights, -50, 50)))
+def _looked_up(texts: list[bytes], head: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, its sum over the head, and the expressions that aren't there: text and key."""
+    keys, _, n = pairs_of(texts)
+    both = np.stack([keys, (keys >> _CONTEXT) & ((1 << 40) - 1)], axis=1).ravel()
+    text = np.repeat(np.arange(len(n)), 2 * n)
+    at = np.minimum(np.searchsorted(head, both), max(0, len(head) - 1))
+    hit = head[at] == both if len(head) else np.zeros(len(both), bool)
+    ends = np.cumsum(np.append(0, np.where(hit, value[at], 0) if len(head) else np.zeros(len(both), np.int64)))
+    cuts = np.append(0, np.cumsum(2 * n))
+    return n, ends[cuts[1:]] - ends[cuts[:-1]], text[~hit], both[~hit]
+
+
+def log_ratios(docs: DataFrame, model: KneserNey) -> DataFrame:
+    """doc_id, the log-likelihood ratio ``r`` of its text, toxic against ordinary, and its words ``n``."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.head, model.head_value))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("doc_id", "text"))
+
+    def by_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            n, total, _, _ = _looked_up(bytes_of(batch), *sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total)], names=["k", "doc_id", "n", "total"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            _, _, text, key = _looked_up(bytes_of(batch), *sent.value)
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(key)))
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(text[first])), pa.array(key[first]), pa.array(times.astype(np.int32))], names=["k", "key", "times"])
+
+    out = slim.mapInArrow(by_head, "k long, doc_id long, n long, total long")
+    if model.table is not None:
+        # rows that are equal in both columns have one k: they are counted here, and add as many times to its sum
+        rows = out.groupBy("k", "doc_id", "n", "total").agg(F.count("*").alias("rows"))
+        found = slim.mapInArrow(others, "k long, key long, times int").join(model.table, "key")
+        sums = found.groupBy("k").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+        rows = rows.join(sums, "k", "left").withColumn("total", F.col("total") + F.coalesce(F.expr("more div rows"), F.lit(0)))
+        out = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return out.select("doc_id", (F.col("total") * F.lit(UNIT)).alias("r"), "n")
 
 
 def normalised(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -153,10 +187,14 @@ def fold() -> Column:
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(5))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> KneserNey:
-    """Count, weigh and calibrate. The driver gets at most EXPRESSIONS words, as many pairs, and CALIBRATION rows of two numbers."""
+def marked(labels: DataFrame, name: str) -> DataFrame:
+    return labels.filter(F.col(name).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(name).cast("tinyint").alias("y"))
+
+
+def learnt_from(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> KneserNey:
+    """Count and weigh. The driver gets at most HEAD expressions; the others stay a table."""
     spark = docs.sparkSession
-    marks = labels.filter(F.col(name).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(name).cast("tinyint").alias("y"))
+    marks = marked(labels, name)
     learnt = written(marks.filter((fold() > 0) & (fold() < 4)).select(F.col("doc_id").cast("long").alias("doc_id"), "y"), "marks")
     if learnt.count() <= MARKS:
         # ids and marks go to the texts, 9 bytes each, so texts don't move
@@ -167,13 +205,13 @@ def fitted(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> KneserNey
     else:
         counted = docs.select("doc_id", "text").join(learnt, "doc_id").select("text", "y").mapInArrow(_count, "pair long, u short, y tinyint")
     # dealt out by pair once, for both groupings
-    distinct = counted.repartition("pair").groupBy("pair", "u").agg(F.max("y").cast("long").alias("t"), (1 - F.min("y")).cast("long").alias("p"))
-    pairs = distinct.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.count("*").alias("n"))
+    distinct = counted.repartition("pair").groupBy("pair", "u").agg(F.max("y").cast("long").alias("t"), (1 - F.min("y")).cast("long").alias("p"), F.count("*").alias("f"))
+    pairs = distinct.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.count("*").alias("n"), F.sum("f").alias("f"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     once = F.col("t") + F.col("p") == 1
-    of_word = pairs.groupBy(F.shiftright("pair", _CONTEXT).alias("key")).agg(one(F.col("t") > 0).alias("t"), one(F.col("p") > 0).alias("p"), F.count("*").alias("n"), one(once & (F.col("t") > 0)).alias("n1"), one(once & (F.col("p") > 0)).alias("n2"))
-    of_context = pairs.groupBy(F.col("pair").bitwiseAND(F.lit((1 << _CONTEXT) - 1).cast("long")).alias("key")).agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.count("*").alias("n"), one(F.col("n") == 1).alias("n1"), one(F.col("n") == 2).alias("n2"))
-    of_pair = pairs.filter("n > 2").select(F.col("pair").alias("key"), "t", "p", "n", F.lit(0).cast("long").alias("n1"), F.lit(0).cast("long").alias("n2"))
+    of_word = pairs.groupBy(F.shiftright("pair", _CONTEXT).alias("key")).agg(one(F.col("t") > 0).alias("t"), one(F.col("p") > 0).alias("p"), F.count("*").alias("n"), one(once & (F.col("t") > 0)).alias("n1"), one(once & (F.col("p") > 0)).alias("n2"), F.sum("f").alias("f"))
+    of_context = pairs.groupBy(F.col("pair").bitwiseAND(F.lit((1 << _CONTEXT) - 1).cast("long")).alias("key")).agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.count("*").alias("n"), one(F.col("n") == 1).alias("n1"), one(F.col("n") == 2).alias("n2"), F.sum("f").alias("f"))
+    of_pair = pairs.filter("n > 2").select(F.col("pair").alias("key"), "t", "p", "n", F.lit(0).cast("long").alias("n1"), F.lit(0).cast("long").alias("n2"), "f")
     # one query, so that the pairs are shuffled once for all three
     kinds = [x.withColumn("kind", F.lit(k)) for k, x in enumerate((of_word, of_context, of_pair))]
     counts = written(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), "counts")
@@ -191,51 +229,70 @@ def fitted(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> KneserNey
         own = lambda x, total, types: (F.greatest(x - d1, F.lit(0.0)) + d1 * types * F.col("n") / n_all) / max(total, 1.0)
         chance = lambda d: d.withColumns({"pt": own(F.col("t"), n_t, types_t), "pp": own(F.col("p"), n_p, types_p)})
         ratio = F.log((F.col("pt") + 1e-12) / (F.col("pp") + 1e-12))
-        words = chance(telling).orderBy(F.desc("g"), "key").limit(EXPRESSIONS).select("key", ratio.alias("r")).toArrow()
-        found = pair.filter("t = 0 OR p = 0").withColumn("g", g_statistic(F.col("t"), F.col("p"), c_t, c_p)).filter(F.col("g") >= SIGNIFICANT).orderBy(F.desc("g"), "key").limit(EXPRESSIONS)
+        words = chance(telling).select("key", ratio.alias("r"), "f")
+        found = pair.filter("t = 0 OR p = 0").withColumn("g", g_statistic(F.col("t"), F.col("p"), c_t, c_p)).filter(F.col("g") >= SIGNIFICANT)
         around = context.select(F.col("key").alias("v"), F.col("t").alias("vt"), F.col("p").alias("vp"), F.col("n").alias("vn"))
         # a word that tells nothing by itself has its shared chance in both classes
         even = F.col("n") / n_all
         shared = chance(word).select(F.col("key").alias("w"), F.when(F.col("g") >= SIGNIFICANT, F.col("pt")).otherwise(even).alias("pt"), F.when(F.col("g") >= SIGNIFICANT, F.col("pp")).otherwise(even).alias("pp"))
         v = F.col("key").bitwiseAND(F.lit((1 << _CONTEXT) - 1).cast("long"))
-        joined = found.withColumns({"v": v, "w": F.shiftright("key", _CONTEXT)}).join(around, "v").join(shared, "w")
+        few = lambda d, rows: F.broadcast(d) if rows <= VOCABULARY else d
+        alone = words.select(F.col("key").alias("w"), F.col("r").alias("rw"))
+        shared = shared.join(alone, "w", "left").fillna(0.0, ["rw"])
+        joined = found.withColumns({"v": v, "w": F.shiftright("key", _CONTEXT)}).join(few(around, context.count()), "v").join(few(shared, word.count()), "w")
         left = d2 * F.col("vn") / (F.col("vt") + F.col("vp"))
         given = lambda x, total, p: F.greatest(x - d2, F.lit(0.0)) / F.greatest(total, F.lit(1)) + left * p
-        pairs_ = joined.select("key", F.log(given(F.col("t"), F.col("vt"), F.col("pt")) / given(F.col("p"), F.col("vp"), F.col("pp"))).alias("r")).toArrow()
-        for rows, keys, ratios in ((words, "words", "word_ratio"), (pairs_, "pairs", "pair_ratio")):
-            k, r = rows.column("key").to_numpy(), rows.column("r").to_numpy()
-            order = np.argsort(k)
-            setattr(model, keys, k[order]), setattr(model, ratios, r[order])
-    sent = spark.sparkContext.broadcast(model)
-
-    def ratios_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            r, n = sent.value.ratios(bytes_of(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(r), pa.array(n.astype(np.int64))], names=["y", "r", "n"])
+        beyond = F.log(given(F.col("t"), F.col("vt"), F.col("pt")) / given(F.col("p"), F.col("vp"), F.col("pp"))) - F.col("rw")
+        # a word's number has 40 bits, without the sign that a shift of pairs repeats
+        words = words.withColumn("key", F.col("key").bitwiseAND(F.lit((1 << 40) - 1).cast("long")))
+        all_ = words.unionByName(joined.select("key", beyond.alias("r"), "f"))
+        model.table = written(all_.select("key", F.round(F.col("r") / UNIT).cast("long").alias("value"), "f"), "model")
+        head = model.table.orderBy(F.desc("f"), "key").limit(HEAD).toArrow()
+        keys, values = head.column("key").to_numpy(), head.column("value").to_numpy()
+        order = np.argsort(keys)
+        model.head, model.head_value = keys[order], values[order]
+        model.table = model.table.select("key", "value") if model.table.count() > HEAD else None
+    return model
+
 
-    wanted = marks.filter(fold() == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "y").mapInArrow(ratios_, "y tinyint, r double, n long").orderBy("y", "r", "n").limit(2 * CALIBRATION).toArrow()
-    model.weights = calibrated(normalised(rows.column("r").to_numpy(), rows.column("n").to_numpy()), rows.column("y").to_numpy().astype(float))
+def weights_of(ratios: DataFrame, labels: DataFrame, name: str = "toxic") -> np.ndarray:
+    """Calibrated on at most CALIBRATION documents of fold 4: rows of ``log_ratios`` that bear their ids."""
+    rows = ratios.join(F.broadcast(_calibrating(labels, name)), "doc_id").select("y", "r", "n").orderBy("y", "r", "n").limit(2 * CALIBRATION).toArrow()
+    return calibrated(normalised(rows.column("r").to_numpy(), rows.column("n").to_numpy()), rows.column("y").to_numpy().astype(float))
+
+
+def _calibrating(labels: DataFrame, name: str) -> DataFrame:
+    return marked(labels, name).filter(fold() == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select(F.col("doc_id").cast("long").alias("doc_id"), "y")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> KneserNey:
+    """Count, weigh and calibrate. The driver gets at most HEAD expressions, and CALIBRATION rows of two numbers."""
+    model = learnt_from(docs, labels, name)
+    some = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(_calibrating(labels, name).select("doc_id")), "doc_id", "left_semi")
+    model.weights = weights_of(log_ratios(some, model), labels, name)
     return model
 
 
+def _scores(ratios: DataFrame, weights: np.ndarray) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = normalised(batch.column("r").to_numpy(), batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -50, 50))))], names=["doc_id", "score"])
+
+    return ratios.mapInArrow(work, "doc_id long, score double")
+
+
 def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
     """doc_id and score for every row of ``docs``.
 
     A null text is an empty one and has the score of a text whose ratio is 0. Without labels all scores are near 0. Repeated rows
     have equal scores; an empty table gives no rows. Words are runs of letters and digits, ASCII in lower case.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * EXPRESSIONS entries of 16 bytes
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            score = sent.value.scores(*sent.value.ratios(bytes_of(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
-
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(work, "doc_id long, score double")
+    return _scores(log_ratios(docs, model), model.weights)
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratios = written(log_ratios(docs, learnt_from(docs, labels)), "ratios")  # each text is scored once, those that calibrate as well
+    out = _scores(ratios, weights_of(ratios, labels))
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -40,3 +40,14 @@ def test_messy_rows(messy, empty, marks, no_marks):
         got = X.scored(messy, X.fitted(messy, labels)).collect()
         assert len(got) == messy.count() and all(0 <= r.score <= 1 for r in got)
     assert X.scored(empty, X.fitted(empty, marks)).collect() == []
+
+
+def test_expressions_beyond_the_head_count_as_those_in_it(spark, documents, monkeypatch):
+    labels = spark.createDataFrame([(r.doc_id, int("the" in (r.text or "")[:200])) for r in documents.select("doc_id", "text").collect()], "doc_id long, toxic int")
+    docs = documents.select("doc_id", "text").union(documents.select("doc_id", "text").limit(3))  # rows that are equal are scored alike
+    whole = X.fitted(docs, labels)
+    monkeypatch.setattr(X, "HEAD", 3)
+    parted = X.fitted(docs, labels)
+    assert whole.table is None and len(parted.head) == 3 and parted.table.count() == len(whole.head) > 3
+    a, b = (sorted((r.doc_id, r.r, r.n) for r in X.log_ratios(docs, m).collect()) for m in (whole, parted))
+    assert a == b and len(a) == docs.count() and any(r for _, r, _ in a)

@@ -6,7 +6,7 @@ may reveal it; how strongly is estimated from the whole corpus by pointwise mutu
     PMI(t; c) = log(p(t, c) / (p(t) p(c))),    against the entity's own information    IC(c) = -log p(c),
 
 with probabilities counted over distinct texts, so that copies prove nothing. A term whose PMI reaches IC(c) / ALPHA discloses too much:
-in texts that hold the entity it is generalised to a placeholder, and removed if its PMI reaches IC(c) itself (the term never occurs
+in all texts that hold the term, with the entity or without, it is generalised to a placeholder, and removed if its PMI reaches IC(c) itself (the term never occurs
 without the entity). Pairs seen in fewer than SUPPORT texts are not evidence. Threshold in another form: p(c | t) >= p(c) ** (1 - 1 / ALPHA).
 """
 
@@ -121,7 +121,7 @@ def _key() -> F.Column:
 
 
 def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(key, terms, removed): for each distinct text that holds an entity, the words that disclose it. docs: ``text`` and ``__pii_key``."""
+    """(key, terms, removed): for each distinct text, the words in it that disclose an entity. docs: ``text`` and ``__pii_key``."""
     contexts = written(docs.select("text", "__pii_key").mapInArrow(_contexts, "key binary, entity string, terms array<string>"), "contexts").distinct()
     pairs = contexts.select("key", "entity", F.explode("terms").alias("term"))
     near = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_tc"))  # contexts are distinct: a text counts once
@@ -136,10 +136,13 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     terms = likely.select("term").distinct()
     few = terms.count() <= BROADCAST_TERMS
     words = docs.select("__pii_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
-    held = words.join(F.broadcast(terms) if few else terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = likely.join(held, "term").filter(F.col("n_tc") / F.col("n_t") >= share)
+    held = written(words.join(F.broadcast(terms) if few else terms, "term").distinct().select(F.col("__pii_key").alias("key"), "term"), "held")
+    scored = likely.join(held.groupBy("term").agg(F.count("*").alias("n_t")), "term").filter(F.col("n_tc") / F.col("n_t") >= share)
     chosen = scored.select("entity", "term", (F.col("n_tc") >= F.col("n_t")).alias("certain"))
-    flagged = contexts.select("key", "entity").join(chosen, "entity").groupBy("key", "term").agg(F.max("certain").alias("certain"))
+    chosen = written(chosen, "chosen")
+    with_entity = contexts.select("key", "entity").join(chosen, "entity").select("key", "term", "certain")
+    anywhere = held.join(chosen.groupBy("term").agg(F.max("certain").alias("certain")), "term").select("key", "term", "certain")
+    flagged = with_entity.unionByName(anywhere).groupBy("key", "term").agg(F.max("certain").alias("certain"))
     return flagged.groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("certain"), F.col("term"))).alias("removed"))
 
 

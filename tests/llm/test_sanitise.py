@@ -90,3 +90,10 @@ def test_messy_rows(messy, empty):
     assert by[4].text is None and by[4].n_chars is None and by[5].text == ""
     assert "[EMAIL]" in by[9].text and "[IP]" in by[9].text and "4111" not in by[9].text and by[9].n_chars == len(by[9].text)
     assert S.clean_documents(empty).collect() == []
+
+
+def test_a_disclosing_term_goes_from_texts_without_the_entity(spark):
+    texts = [f"plain words of text number {chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(200)]
+    texts += [f"Zorblax wrote from zorblax@court.org on day {i}" for i in range(6)] + ["nobody but Zorblax was here"]
+    clean = [r[0] for r in S.sanitised(spark.createDataFrame([(t,) for t in texts], "text string")).select("__pii_text").collect()]
+    assert "nobody but [TERM] was here" in clean and not any("orblax" in t for t in clean)

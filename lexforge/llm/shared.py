@@ -69,27 +69,16 @@ def folded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Colu
 
 # ---- Arrow batches -------------------------------------------------------------------------------------------
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Keeps the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = 1 << (n - 1).bit_length()
-        _powers = np.full(n, _P, np.uint64)
-        _powers[0] = 1
-        _powers = np.cumprod(_powers, dtype=np.uint64)
-        _inverse = np.full(n, _P_INV, np.uint64)
-        _inverse[0] = 1
-        _inverse = np.cumprod(_inverse, dtype=np.uint64)
-    return _powers, _inverse
+def _salt(k: int) -> np.uint64:
+    return np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, on unsigned 64-bit integers."""
+    """The finaliser of splitmix64, on unsigned 64-bit integers; a permutation of them."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -115,22 +104,31 @@ def word_table(raw: bool) -> np.ndarray:
 WORDS = word_table(False)
 
 
+def stretches(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of true values start and end."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of code[start:end] for each start and end, eight bytes at a time. Spans of one length up to 8 never collide."""
+    eights = np.ndarray(len(code) + 1, "<u8", np.concatenate((code, np.zeros(8, np.uint8))), strides=(1,))
+    left = end - start
+    out = mix(left.astype(np.uint64) + _salt(2 * seed + 1))
+    live, at = np.arange(len(start)), start
+    while len(live):
+        out[live] = mix(out[live] ^ (eights[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
 def hashed_words(texts: list[bytes], to: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and for each text how many it has. A text may be of any length."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    code = to[joined]
-    inside = code != 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    if len(end) < len(start):
-        end = np.append(end, len(joined))
-    powers, inverse = _tables(len(joined) + 1)
-    total = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * powers[: len(joined)], out=total[1:])
-    with np.errstate(over="ignore"):
-        hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    code = to[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    start, end = stretches(code != 0)
     stops = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(start, stops), prepend=0)
+    return span_hashes(code, start, end), np.diff(np.searchsorted(start, stops), prepend=0)
 
 
 def chunks(batches, most: int = 1 << 21):

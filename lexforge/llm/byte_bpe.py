@@ -1,18 +1,19 @@
 """Byte-level BPE in DuckDB, inside each partition.
 
 Encoding: the distinct pieces of a stretch of texts become token-position rows. A recursive query joins neighbours with the
-merge table and contracts each piece's leftmost pair of least rank, until no piece has a pair left. Decoding: token
-rows join the vocabulary, and an ordered aggregate puts the bytes together.
+merge table and contracts each piece's leftmost pair of least rank, until no piece has a pair left; rows of pieces that are done leave the
+recursion. Decoding: token rows join the vocabulary, and an ordered aggregate puts the bytes together.
 
-A piece takes as many rounds as it has merges, and each round keeps its rows, so rows grow with the square of a piece. Pieces longer than
-``LONG`` bytes (a word of hundreds of letters) are contracted by the same rule with a heap instead.
+Contracting one pair a round takes a piece as many rounds as it has merges. In pieces longer than any token, pairs far apart are contracted
+in the same round: what isn't within a token's length of a pair can't touch it before it is contracted, so a pair that comes first within
+that stretch comes before all that could change it. A run of equal pairs (one letter many times) is contracted in one round as well, every second pair
+from its left end, unless a pair of lower rank would arise in that piece; then only strictly first pairs are. The ids are those of one pair at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +26,49 @@ from lexforge.llm.shared import chunks, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-LONG = 256
-ROWS = 3_000_000
+#: Bytes of pieces that are contracted together, and ids that are decoded together.
+BYTES = 1_000_000
 DECODED = 400_000
-_CACHE = 600_000
+#: Bytes that a process keeps of pieces it has encoded.
+KNOWN_BYTES = 256_000_000
 
 CONTRACT = """
-WITH RECURSIVE step(w, pos, tok, k) AS (
-  SELECT w, pos, tok, 0 FROM start
+WITH RECURSIVE step(w, pos, tok, nxt, live) AS (
+  SELECT w, pos, tok, nxt, true FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN key = best THEN (key >> 20)::INTEGER ELSE tok END, k + 1 FROM (
-    SELECT *, min(key) OVER (PARTITION BY w) AS best, lag(key) OVER (PARTITION BY w ORDER BY pos) AS before FROM (
-      SELECT s.w, s.pos, s.tok, s.k, (m.merged::BIGINT << 20) + s.pos AS key
-      FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM step) s
-      LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 16777216 + s.nxt))
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best)
-SELECT w, pos, tok FROM (SELECT *, max(k) OVER (PARTITION BY w) AS last FROM step) WHERE k = last ORDER BY w, pos
+  SELECT w, pos, CASE WHEN key = best THEN (key >> 20)::INTEGER ELSE tok END,
+      CASE WHEN key = best THEN beyond WHEN after = best THEN (after >> 20)::INTEGER ELSE nxt END, best IS NOT NULL
+  FROM (
+    SELECT *, min(key) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
+        lag(key) OVER p AS before, lead(key) OVER p AS after, lead(nxt, 1, -1) OVER p AS beyond
+    FROM (SELECT s.w, s.pos, s.tok, s.nxt, (m.merged::BIGINT << 20) + s.pos AS key
+          FROM (SELECT * FROM step WHERE live) s LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 16777216 + s.nxt)
+    WINDOW p AS (PARTITION BY w ORDER BY pos))
+  WHERE best IS NULL OR before IS DISTINCT FROM best)
+SELECT w, pos, tok FROM step WHERE NOT live ORDER BY w, pos
+"""
+CONTRACT_FAR = """
+WITH RECURSIVE step(w, pos, tok, live) AS (
+  SELECT w, pos, tok, true FROM start
+  UNION ALL
+  SELECT w, pos, CASE WHEN pick THEN rank ELSE tok END, alive
+  FROM (
+    SELECT *, lag(pick, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone FROM (
+      SELECT *, CASE WHEN bool_or(lower) OVER (PARTITION BY w) THEN coalesce(key = lowest, false) ELSE even END AS pick FROM (
+        SELECT e.*, even AND coalesce(least(a.merged, b.merged, c.merged) < rank, false) AS lower FROM (
+          SELECT *, coalesce(fit AND (nr - began) % 2 = 0 AND sum(CASE WHEN fit THEN 0 ELSE 1 END) OVER (PARTITION BY w, began ORDER BY pos) = 0, false) AS even FROM (
+            SELECT *, max(CASE WHEN fresh THEN nr END) OVER (PARTITION BY w ORDER BY pos) AS began, coalesce(rank = lowest >> 40, false) AS fit FROM (
+              SELECT *, min(key) OVER (PARTITION BY w ORDER BY pos RANGE BETWEEN $reach PRECEDING AND 2 * $reach FOLLOWING) AS lowest,
+                  bool_or(key IS NOT NULL) OVER (PARTITION BY w) AS alive, row_number() OVER p AS nr, rank IS DISTINCT FROM lag(rank) OVER p AS fresh
+              FROM (SELECT s.*, m.merged AS rank, (m.merged::BIGINT << 40) + s.pos AS key
+                    FROM (SELECT w, pos, tok, lead(tok) OVER n AS nxt, lead(tok, 2) OVER n AS beyond, lag(tok) OVER n AS prior FROM step WHERE live WINDOW n AS (PARTITION BY w ORDER BY pos)) s
+                    LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 16777216 + s.nxt)
+              WINDOW p AS (PARTITION BY w ORDER BY pos)))) e
+        LEFT JOIN merges a ON even AND a.pair = e.prior::BIGINT * 16777216 + e.rank
+        LEFT JOIN merges b ON even AND b.pair = e.rank::BIGINT * 16777216 + e.beyond
+        LEFT JOIN merges c ON even AND c.pair = e.rank::BIGINT * 16777216 + e.rank)))
+  WHERE NOT gone)
+SELECT w, pos, tok FROM step WHERE NOT live ORDER BY w, pos
 """
 JOINED = "SELECT d, string_agg(s, '' ORDER BY pos) AS s FROM ids JOIN vocab USING (id) GROUP BY d ORDER BY d"
 
@@ -48,85 +76,68 @@ JOINED = "SELECT d, string_agg(s, '' ORDER BY pos) AS s FROM ids JOIN vocab USIN
 class DuckBpe:
     """A vocabulary of ranks (bytes to id); the rank of a pair is the id of its concatenation."""
 
-    def __init__(self, path: str = RANKS, pattern: str = PATTERN):
+    def __init__(self, path: str = RANKS, pattern: str = PATTERN, bound: int = KNOWN_BYTES):
         import duckdb
 
         self.split = regex.compile(pattern).findall
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        find = self.ranks.get
-        merges = [(a * 16777216 + b, m) for t, m in self.ranks.items() for k in range(1, len(t)) if (a := find(t[:k])) is not None and (b := find(t[k:])) is not None]
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.bound = bound
+        with open(path, "rb") as lines:
+            self.load({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())})
+
+    def load(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.longest = max(map(len, ranks))
+        find = ranks.get
+        merges = [(a * 16777216 + b, m) for t, m in ranks.items() for k in range(1, len(t)) if (a := find(t[:k])) is not None and (b := find(t[k:])) is not None]
         self.con.register("given", pa.table({"pair": pa.array([a for a, _ in merges], pa.int64()), "merged": pa.array([m for _, m in merges], pa.int32())}))
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.con.register("given", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "s": [b.decode("latin-1") for b in self.ranks]}))
-        self.con.execute("CREATE TABLE vocab AS SELECT * FROM given")
+        self.con.execute("CREATE OR REPLACE TABLE merges AS SELECT * FROM given")
+        self.con.register("given", pa.table({"id": pa.array(ranks.values(), pa.int32()), "s": [b.decode("latin-1") for b in ranks]}))
+        self.con.execute("CREATE OR REPLACE TABLE vocab AS SELECT * FROM given")
         self.known: dict[str, bytes] = {}
-
-    def _heap(self, piece: bytes) -> bytes:
-        """The ids of one long piece: always the leftmost pair of least rank."""
-        part = [piece[i : i + 1] for i in range(len(piece))]
-        after, before, alive = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1)), [True] * len(part)
-        find, heap = self.ranks.get, []
-
-        def offer(i: int) -> None:
-            if (j := after[i]) < len(part) and (rank := find(part[i] + part[j])) is not None:
-                heapq.heappush(heap, (rank, i, len(part[i]), len(part[j])))
-
-        for i in range(len(part) - 1):
-            offer(i)
-        while heap:
-            _, i, n, m = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or len(part[i]) != n or j >= len(part) or len(part[j]) != m:
-                continue
-            part[i] += part[j]
-            alive[j], after[i] = False, after[j]
-            if after[i] < len(part):
-                before[after[i]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return np.array([self.ranks[p] for p, a in zip(part, alive, strict=True) if a], "<u4").tobytes()
+        self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def contract(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of pieces, as unsigned 32-bit integers, by the recursive query."""
+        """The ids of pieces, as unsigned 32-bit integers, by a recursive query. Pieces are longer than any token, or none is."""
         n = np.array([len(p) for p in pieces])
         ends = np.cumsum(n)
-        w = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
-        pos = (np.arange(ends[-1]) - np.repeat(ends - n, n)).astype(np.int32)
-        self.con.register("start", pa.table({"w": w, "pos": pos, "tok": self.single[np.frombuffer(b"".join(pieces), np.uint8)]}))
-        got = self.con.execute(CONTRACT).fetchnumpy()
+        tok = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[ends - 1] = -1
+        self.con.register("start", pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), n), "pos": np.arange(ends[-1]) - np.repeat(ends - n, n), "tok": tok, "nxt": nxt}))
+        far = n.max() > self.longest
+        got = self.con.execute(CONTRACT_FAR.replace("$reach", str(self.longest)) if far else CONTRACT).fetchnumpy()
         ids = got["tok"].astype("<u4").tobytes()
         cuts = (4 * np.searchsorted(got["w"], np.arange(len(pieces) + 1))).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = list(words)
-        some: list[tuple[str, bytes]] = []
-        rows = 0
-        for w in new:
+        """Make words known. Half of what is kept is of words used of late; the other half goes when that is full."""
+        if self.held > self.bound // 2:
+            self.before, self.known, self.held = self.known, {}, 0
+        short: list[tuple[str, bytes]] = []
+        far: list[tuple[str, bytes]] = []
+        for w in words - self.known.keys():
+            if (ids := self.before.get(w)) is not None:
+                self._keep(w, ids)
+                continue
             b = w.encode()
             if (rank := self.ranks.get(b)) is not None:
-                self.known[w] = rank.to_bytes(4, "little")
-            elif len(b) > LONG:
-                self.known[w] = self._heap(b)
+                self._keep(w, rank.to_bytes(4, "little"))
             else:
-                some.append((w, b))
-                rows += len(b) * (len(b) + 1) // 2
-                if rows > ROWS:
-                    self._add(some)
-                    some, rows = [], 0
-        self._add(some)
-
-    def _add(self, some: list[tuple[str, bytes]]) -> None:
-        if some:
-            self.known.update(zip([w for w, _ in some], self.contract([b for _, b in some]), strict=True))
+                (far if len(b) > self.longest else short).append((w, b))
+        for some in (short, far):
+            while some:
+                n = 1 + int(np.searchsorted(np.cumsum([len(b) for _, b in some]), BYTES))
+                for (w, _), ids in zip(some, self.contract([b for _, b in some[:n]]), strict=False):
+                    self._keep(w, ids)
+                some = some[n:]
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += 200 + 2 * len(word) + len(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]

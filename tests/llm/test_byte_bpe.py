@@ -33,6 +33,45 @@ def test_odd_and_random_texts():
     assert [b"".join(p) for p in bpe.decode(bpe.encode(texts))] == [t.encode() for t in texts]
 
 
+def test_long_pieces():
+    """Pieces of 300, 5,000 and 100,000 bytes: of one letter, of a few, and of a language's."""
+    enc, bpe, rng = library(), B.DuckBpe(), random.Random(11)
+    parts = ["ther", "ing", "tion", "aux", "men", "qu", "ré", "што", "e", "s"]
+    texts = ["".join(rng.choice(x) for _ in range(n)) for x in ("ab", "aab", "etaoinshr", parts) for n in (17, 34, 300, 5000)]
+    texts += ["x" * 100_000, "ab" * 50_000, "".join(rng.choice(parts) for _ in range(30_000)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))]
+    for t, ids in zip(texts, bpe.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), t[:40]
+
+
+def test_merges_that_bring_lower_ranks():
+    """Vocabularies that no trainer makes: a longer token may have a lower rank than its parts."""
+    rng = random.Random(5)
+    for _ in range(12):
+        bpe = B.DuckBpe()
+        tokens = {"".join(rng.choice("ab") for _ in range(rng.randrange(2, 6))).encode() for _ in range(14)}
+        order = [*(bytes([i]) for i in range(256)), *rng.sample(sorted(tokens), len(tokens))]
+        bpe.load({t: i for i, t in enumerate(order)})
+        for n in (3, 8, 40, 300):
+            t = "".join(rng.choice("ab") for _ in range(n)).encode()
+            parts = [t[i : i + 1] for i in range(n)]
+            while True:
+                ranked = [(bpe.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in bpe.ranks]
+                if not ranked:
+                    break
+                i = min(ranked)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert np.frombuffer(bpe.contract([t])[0], "<u4").tolist() == [bpe.ranks[p] for p in parts], t
+
+
+def test_known_pieces_are_bounded():
+    bpe = B.DuckBpe(bound=200_000)
+    enc = library()
+    for k in range(40):
+        t = " ".join(f"wörd{k}x{i}" for i in range(200))
+        assert np.frombuffer(bpe.encode([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
+        assert len(bpe.known) + len(bpe.before) < 2000
+
+
 def test_messy_rows(messy, empty):
     got = B.encoded(messy).collect()
     assert len(got) == messy.count() and all(r.n_tokens == len(r.ids) for r in got)

@@ -1,13 +1,15 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Index: each unit vector is padded with zeros, rotated at random and cut to its signs. The code is kept packed, with one
-correction scalar, the inner product of the rotated vector and its code. Search: the product of query and code divided by that
-scalar estimates the cosine without bias, and its error is bounded with high probability by a multiple of sqrt((1 - a^2) / a^2 / (D - 1)),
-a being the scalar. A vector is compared exactly, in double precision, if its upper bound reaches the k-th best
-lower bound seen. The vector lies beside its code, so nothing is fetched for that.
-
-Queries are taken in blocks of a fixed number. A block goes to all tasks; each task reads its part of the index in a stream and sends back k
-rows for a query, which are merged with an aggregation.
+Index: unit vectors are dealt to the nearest of some centroids, and what is left of a vector beyond its centroid is rotated at random and cut to its signs. The code
+is kept packed, with correction scalars: the length of the rest, and the inner product of the rotated rest and its code. Search: a query is rotated
+as well and each component rounded to BITS bits. Its inner product with a code is a sum of population counts of packed words; divided by the scalar it estimates the
+cosine without bias, and its error is bounded with high probability by a multiple of sqrt((1 - a^2) / a^2 / (D - 1)), a being the scalar, and of
+what rounding has left. The vectors of the best estimates are compared exactly, in double precision, and then all whose upper bound reaches the k-th best of those.
+
+Every row is in the index. A query looks into the cells whose centroids are nearest. How many, is measured: CALIBRATE queries are compared with all rows, and
+the least number that finds a share of RECALL of their neighbours is taken. Where vectors lie in groups that is a few cells, so work grows with queries times cells' rows;
+where they lie without any order, as in the tables made for tests, no index can leave out much. Cells and the queries that look into them are cut into parts of bounded size, and a task gets one part of each. Of equal vectors only the
+k + 1 of smallest ids can be among the k nearest of any query, so a vector that very many rows share takes no more room than that.
 """
 
 from __future__ import annotations
@@ -24,44 +26,50 @@ from lexforge.llm.shared import table, written
 
 NEAREST = 5
 EVERY = 50
+#: Bits of a code at least (a power of two), and of a query's component.
 WIDTH = 256
+BITS = 4
 #: Standard errors on either side of an estimate.
 SPREAD = 4.0
 SEED = 20
-BLOCK = 4096
-STREAM = 2048
-PAIRS = 1 << 21
-
+#: Rows of a cell on average, and cells at most; the centroids are fitted on at most SAMPLE vectors, and at most SAMPLE_BYTES.
+CELL = 256
+CELLS = 4096
+CALIBRATE = 128
+RECALL = 0.98
+SAMPLE = 1 << 15
+SAMPLE_BYTES = 1 << 26
+ROUNDS = 6
+#: Bytes of the vectors of a part.
+PART_BYTES = 1 << 21
+#: Words that one step of estimating looks at.
+STEP = 1 << 21
 
-def rotation(dim: int, width: int) -> np.ndarray:
-    """The first ``dim`` rows of a random orthogonal matrix: what is left of the rotation of a vector padded with zeros."""
-    g = np.random.default_rng(SEED).standard_normal((width, width))
-    q, r = np.linalg.qr(g)
-    return (q * np.sign(np.diag(r)))[:dim].astype(np.float32)
 
+def width_of(dim: int) -> int:
+    return max(WIDTH, 1 << (dim - 1).bit_length())
 
-def _width(dim: int) -> int:
-    return max(WIDTH, (dim + 7) // 8 * 8)
 
+def rotated(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows padded with zeros and turned: three times random signs and a Walsh-Hadamard transform, which takes no matrix."""
+    y = np.zeros((len(x), width), np.float32)
+    y[:, : x.shape[1]] = x
+    rng = np.random.default_rng(SEED)
+    for _ in range(3):
+        y *= rng.choice(np.array([-1, 1], np.float32), width)
+        h = 1
+        while h < width:
+            z = y.reshape(len(y), -1, 2, h)
+            y = np.stack([z[:, :, 0] + z[:, :, 1], z[:, :, 0] - z[:, :, 1]], axis=2).reshape(len(y), width)
+            h *= 2
+        y *= np.float32(width**-0.5)
+    return y
 
-def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
-
-def _encode(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    turn = rotation(dim, _width(dim))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = _vectors(batch.column("embedding"), dim)
-        # scaled first, so that the squares of very large or small components stay finite
-        unit = x / np.abs(x).max(axis=1, keepdims=True)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        y = unit.astype(np.float32) @ turn
-        codes = np.packbits(y > 0, axis=1)
-        scalar = np.abs(y).sum(axis=1) / np.sqrt(y.shape[1])
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scalar, pa.float32())], names=["vec_id", "embedding", "code", "scalar"])
+def units(x: np.ndarray) -> np.ndarray:
+    """Scaled first, so that the squares of very large or small components stay finite."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -71,47 +79,151 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], queries, dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    ids, q = queries.value
-    width = _width(dim)
-    unit = q / np.abs(q).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    turned = unit.astype(np.float32) @ rotation(dim, width)
-    best = np.full((len(q), k), -np.inf)  # exact, descending
-    names = np.full((len(q), k), np.iinfo(np.int64).max)
+def centroids(x: np.ndarray, cells: int) -> np.ndarray:
+    """Means of ``cells`` groups of unit vectors, by rounds of dealing to the nearest; at most as many as there are different vectors."""
+    rng = np.random.default_rng(SEED)
+    x = x.astype(np.float32)
+    c = np.unique(x, axis=0)
+    c = c[rng.permutation(len(c))[:cells]]
+    for _ in range(ROUNDS if len(c) > 1 else 0):
+        near = np.concatenate([np.argmax(x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-30), c)
+    return c
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) for each length of vector."""
+    size = np.diff(column.offsets.to_numpy())
+    for dim in np.unique(size):
+        rows = np.flatnonzero(size == dim)
+        yield rows, column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def encoded(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (64-bit words), lengths, and inner products of rotated unit rests and their codes."""
+    length = np.linalg.norm(rest, axis=1)
+    y = rotated(np.divide(rest, length[:, None], out=np.zeros_like(rest), where=length[:, None] > 0), width_of(rest.shape[1]))
+    return np.packbits(y > 0, axis=1).view("<u8"), length, np.abs(y).sum(axis=1) / np.sqrt(y.shape[1])
+
+
+def _index(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, x in _by_length(batch.column("embedding")):
+            unit, c = units(x), sent.value.get(x.shape[1])
+            cell = np.argmax(unit.astype(np.float32) @ c.T, axis=1) if c is not None else np.zeros(len(x), np.int64)
+            code, length, a = encoded(unit - c[cell] if c is not None else unit)
+            own = batch.take(pa.array(rows))
+            added = [pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array(cell.astype(np.int32)), pa.array([b.tobytes() for b in code], pa.binary()), pa.array(length.astype(np.float32)), pa.array(a.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([*own.columns, *added], names=[*own.schema.names, "dim", "cell", "code", "length", "a"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each of a few queries {dim: (ids, unit vectors)} in this part of the index, and their cells."""
+    best: dict[int, list[tuple]] = {}
     for batch in batches:
-        for at in range(0, batch.num_rows, STREAM):
-            part = batch.slice(at, STREAM)
-            vec = part.column("vec_id").to_numpy()
-            x = _vectors(part.column("embedding"), dim)
-            signs = np.unpackbits(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(vec), -1), axis=1).astype(np.float32) * 2 - 1
-            a = part.column("scalar").to_numpy().astype(np.float32)
-            error = (SPREAD * np.sqrt(np.maximum(0, 1 - a * a)) / (a * np.sqrt(width - 1)))[:, None]
-            step = max(1, PAIRS // len(vec))
-            for lo in range(0, len(q), step):
-                hi = min(len(q), lo + step)
-                estimate = (signs @ turned[lo:hi].T) / (a * np.sqrt(width))[:, None]
-                estimate[vec[:, None] == ids[None, lo:hi]] = -np.inf  # a query is no candidate of its own
-                floor = best[lo:hi, k - 1]
-                if len(vec) > k:
-                    floor = np.maximum(floor, np.partition(estimate - error, len(vec) - k, axis=0)[len(vec) - k])
-                rows, cols = np.nonzero(estimate + error >= floor[None, :])
-                live = np.isfinite(estimate[rows, cols])
-                rows, cols = rows[live], cols[live] + lo
-                if not len(rows):
-                    continue
-                score = np.concatenate([cosines(x[rows[i : i + 65536]], q[cols[i : i + 65536]]) for i in range(0, len(rows), 65536)])
-                who = np.concatenate([cols, np.repeat(np.arange(lo, hi), k)])
-                score, name = np.concatenate([score, best[lo:hi].ravel()]), np.concatenate([vec[rows], names[lo:hi].ravel()])
-                order = np.lexsort((name, -score, who))
-                who = who[order]
-                place = np.arange(len(who)) - np.searchsorted(who, who)
-                top = place < k
-                best[who[top], place[top]], names[who[top], place[top]] = score[order][top], name[order][top]
-    found = np.isfinite(best)
-    for lo in range(0, len(q), 8192):
-        some = found[lo : lo + 8192]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 8192], some.sum(axis=1))), pa.array(names[lo : lo + 8192][some]), pa.array(best[lo : lo + 8192][some])], names=["query_id", "vec_id", "score"])
+        for rows, x in _by_length(batch.column("embedding")):
+            if (asked := queries.value.get(x.shape[1])) is None:
+                continue
+            score = asked[1] @ units(x).T
+            ids, cell = batch.column("vec_id").to_numpy()[rows], batch.column("cell").to_numpy()[rows]
+            score[asked[0][:, None] == ids[None]] = -np.inf
+            top = np.argsort(-score, axis=1)[:, :k]
+            for i, q in enumerate(asked[0].tolist()):
+                found = best.get(q, []) + list(zip(score[i, top[i]].tolist(), cell[top[i]].tolist(), strict=True))
+                best[q] = sorted((f for f in found if f[0] > -np.inf), reverse=True)[:k]
+    flat = [(q, *f) for q, found in best.items() for f in found]
+    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int32()))], names=["query_id", "score", "cell"])
+
+
+def _probes(index: DataFrame, asking: DataFrame, means: dict[int, np.ndarray], k: int, recall: float) -> dict[int, int]:
+    """For each length, into how many cells a query has to look. The driver gets k numbers for each of CALIBRATE queries of a length."""
+    spark = index.sparkSession
+    dims = [d for d in means if len(means[d]) > 1]
+    if not dims:
+        return {}
+    length = F.size("embedding")
+    place = F.row_number().over(W.partitionBy(length).orderBy(F.xxhash64("query_id"), "query_id"))
+    some = asking.filter(length.isin(dims)).withColumn("place", place).filter(F.col("place") <= CALIBRATE).select("query_id", "embedding").toArrow()
+    if not some.num_rows:
+        return {}
+    ids = some.column("query_id").to_numpy()
+    queries = {x.shape[1]: (ids[rows], units(x)) for rows, x in _by_length(some.column("embedding").combine_chunks())}
+    sent = spark.sparkContext.broadcast(queries)
+    near = index.select("vec_id", "embedding", "cell").mapInArrow(lambda b: _nearest(b, sent, k), "query_id long, score double, cell int")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "cell")
+    cells: dict[int, list[int]] = {}
+    for r in near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).collect():
+        cells.setdefault(r.query_id, []).append(r.cell)
+    out = {}
+    for dim, (who, q) in queries.items():
+        ranks = np.argsort(np.argsort(-(q.astype(np.float32) @ means[dim].T), axis=1, kind="stable"), axis=1)
+        needed = np.sort(np.array([ranks[i, c] for i, w in enumerate(who.tolist()) for c in cells.get(w, [])]))
+        out[dim] = 1 + int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else len(means[dim])
+    return out
+
+
+def _asked(batches: Iterator[pa.RecordBatch], sent, probes: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, x in _by_length(batch.column("embedding")):
+            c = sent.value.get(x.shape[1])
+            near = np.argsort(-(units(x).astype(np.float32) @ c.T), axis=1, kind="stable")[:, : probes.get(x.shape[1], len(c))].astype(np.int32) if c is not None else np.zeros((len(x), 1), np.int32)
+            own = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array(list(near), pa.list_(pa.int32()))], names=[*own.schema.names, "dim", "cells"])
+
+
+def estimates(q: np.ndarray, code: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of unit vectors q (rows) with the coded directions (columns), and standard errors, from packed bits."""
+    width = code.shape[1] * 64
+    y = rotated(q, width)
+    low = y.min(axis=1, keepdims=True)
+    step = np.maximum((y.max(axis=1, keepdims=True) - low) / ((1 << BITS) - 1), 1e-20)
+    level = np.rint((y - low) / step).astype(np.uint8)
+    planes = np.stack([np.packbits((level >> k) & 1, axis=1).view("<u8") for k in range(BITS)], axis=1)
+    total = np.zeros((len(q), len(code)), np.int64)
+    n = max(1, STEP // max(1, code.size))
+    for lo in range(0, len(q), n):
+        for k in range(BITS):
+            total[lo : lo + n] += np.bitwise_count(planes[lo : lo + n, None, k] & code[None]).sum(axis=2, dtype=np.int64) << k
+    ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
+    whole = (low + step * level).sum(axis=1, keepdims=True)
+    product = (2 * (low * ones + step * total) - whole) / np.sqrt(width)
+    rounding = np.linalg.norm(y - (low + step * level), axis=1, keepdims=True) ** 2 / width
+    return product / a, np.sqrt(np.maximum(0, 1 - a * a) / (width - 1) + rounding) / a
+
+
+def _search(key, asked: pa.Table, cell: pa.Table, sent, k: int) -> pa.Table:
+    """The k nearest of each query in a part of a cell."""
+    dim, at = key[0].as_py(), key[1].as_py()
+    vectors = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    who, ids = asked.column("query_id").to_numpy(), cell.column("vec_id").to_numpy()
+    if not len(who) or not len(ids):
+        return _SCHEMA.empty_table()
+    q, x = vectors(asked), vectors(cell)
+    unit, c = units(q), sent.value.get(dim)
+    code = np.frombuffer(b"".join(cell.column("code").to_pylist()), "<u8").reshape(len(ids), -1)
+    length, a = cell.column("length").to_numpy().astype(np.float64), cell.column("a").to_numpy().astype(np.float64)
+    estimate, error = estimates(unit, code, np.maximum(a, 1e-6))
+    # a vector that is its centroid has no rest, hence no error
+    estimate = (unit @ c[at].astype(np.float64))[:, None] + length * estimate if c is not None else length * estimate
+    error = SPREAD * length * error + 1e-6
+    estimate[who[:, None] == ids[None]] = -np.inf  # a query is no candidate of its own
+    first = min(len(ids), 8 * k)
+    best = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
+    known = cosines(np.repeat(q, first, axis=0), x[best.ravel()]).reshape(len(q), first)
+    known[np.isinf(np.take_along_axis(estimate, best, 1))] = -np.inf
+    floor = np.sort(known, axis=1)[:, -k] if first >= k else np.full(len(who), -np.inf)
+    rows, cols = np.nonzero((estimate + error >= floor[:, None]) & np.isfinite(estimate))
+    score = np.concatenate([np.zeros(0), *(cosines(q[rows[i : i + 65536]], x[cols[i : i + 65536]]) for i in range(0, len(rows), 65536))])
+    order = np.lexsort((ids[cols], -score, rows))
+    rows, cols, score = rows[order], cols[order], score[order]
+    top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return pa.table({"query_id": who[rows[top]], "vec_id": ids[cols[top]], "n": cell.column("n").to_numpy()[cols[top]], "score": score[top]}, schema=_SCHEMA)
+
+
+_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -121,38 +233,57 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & fine & F.exists(e, lambda x: x != 0))
 
 
-def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest of each row whose vec_id is divisible by ``every``.
+def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose vec_id is divisible by ``every``.
 
-    Of vectors of several lengths those of the most frequent length take part (of equally frequent ones, the shortest). A repeated vec_id:
+    Vectors are searched among those of their length, whatever it is; very long ones take parts of few rows. A repeated vec_id:
     rows of the query's vec_id are the query's own and no candidates; of several query rows the least vector asks; other rows are candidates
-    each. Ties go to the smaller vec_id. An empty table gives no rows.
+    each. Ties go to the smaller vec_id. Columns but these two are left out. An empty table gives no rows. A query whose cells hold fewer than ``k`` candidates looks into all.
     """
     spark = vectors.sparkSession
-    good = usable(vectors)
-    lengths = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    # equal rows are one with a count; of equal vectors, k + 1 ids
+    rows = usable(vectors).groupBy("vec_id", "embedding").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    rows = written(rows.withColumn("place", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("place") <= k + 1).drop("place"), "vectors")
+    lengths = {r[0]: r[1] for r in rows.groupBy(F.size("embedding").alias("dim")).count().collect()}
     if not lengths:
-        return spark.createDataFrame([], schema)
-    dim = lengths["n"]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    some = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * max(lengths))))
+    sample = rows.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(some).toArrow().column("embedding").combine_chunks()
+    means = {x.shape[1]: centroids(units(x), n) for _, x in _by_length(sample) if (n := min(CELLS, -(-lengths[x.shape[1]] // CELL))) > 1}
+    sent = spark.sparkContext.broadcast(means)
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
-    index = written(good.filter(F.size("embedding") == dim).mapInArrow(lambda b: _encode(b, dim), f"vec_id long, embedding array<{element}>, code binary, scalar float"), "index")
-    asked = written(index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    n = asked.count()
-    # blocks by the hash of the id, about BLOCK queries each; a block is all that the driver holds at once
-    blocks = max(1, -(-n // BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
-        if rows.num_rows:
-            block = spark.sparkContext.broadcast((rows.column("vec_id").to_numpy(), _vectors(rows.column("embedding"), dim)))
-            part = index.mapInArrow(lambda it, block=block: _scan(it, block, dim, k), "query_id long, vec_id long, score double")
-            found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    # a task has k rows of a query; a limited window cuts them again before and after the exchange, and spills
+    index = written(rows.mapInArrow(lambda b: _index(b, sent), f"vec_id long, embedding array<{element}>, n long, dim int, cell int, code binary, length float, a float"), "index")
+    asking = usable(vectors).filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
+    asking = written(asking, "asking")
+    probes = _probes(index, asking, means, k, recall)
+    asked = written(asking.mapInArrow(lambda b: _asked(b, sent, probes), f"query_id long, embedding array<{element}>, dim int, cells array<int>"), "asked")
+    found = _found(index, asked.withColumn("cell", F.explode("cells")).drop("cells"), sent, k)
+    # a query with fewer than k candidates in its cells (few rows, or nearly all equal to it) is asked of all cells of its length
+    found = written(found, "found")
+    enough = found.groupBy("query_id").agg(F.sum("n").alias("had"))
+    short = written(asked.join(enough, "query_id", "left").filter(F.coalesce("had", F.lit(0)) < k).drop("had", "cells"), "short")
+    if not short.isEmpty():
+        everywhere = written(index.select("dim", "cell").distinct().join(short, "dim").select("query_id", "embedding", "dim", "cell"), "everywhere")
+        found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_found(index, everywhere, sent, k))
+    single = found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return single.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(index: DataFrame, asked: DataFrame, sent, k: int) -> DataFrame:
+    """The k nearest of each query in each part of each cell that it is asked of."""
+    # a few thousand cells for each length: their sizes say in how many parts rows and queries go
+    most = F.greatest(F.lit(1), F.floor(F.lit(PART_BYTES) / (8 * F.col("dim"))))
+    share = lambda d, name: d.groupBy("dim", "cell").agg(F.count("*").alias("n")).select("dim", "cell", F.ceil(F.col("n") / most).cast("int").alias(name))
+    sizes = F.broadcast(written(share(index, "parts").join(share(asked, "blocks"), ["dim", "cell"]), "sizes"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    mine = lambda c, name: F.pmod(F.xxhash64(c), F.col(name)).cast("int")
+    rows = index.join(sizes, ["dim", "cell"]).withColumns({"part": mine("vec_id", "parts"), "block": every("blocks")})
+    queries = asked.join(sizes, ["dim", "cell"]).withColumns({"block": mine("query_id", "blocks"), "part": every("parts")})
+    key = ["dim", "cell", "part", "block"]
+    left = queries.select(*key, "query_id", "embedding").groupBy(*key)
+    right = rows.select(*key, "vec_id", "n", "embedding", "code", "length", "a").groupBy(*key)
+    return left.cogroup(right).applyInArrow(lambda at, q, c: _search(at, q, c, sent, k), "query_id long, vec_id long, n long, score double")
 
 
 def op2_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

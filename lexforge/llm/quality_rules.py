@@ -1,6 +1,6 @@
 """Quality rules whose cutoffs carry a guarantee: at most so many good documents of a stratum are rejected.
 
-Labelled documents are the holdout. For each rule and stratum the cutoffs are tested from the most lenient on
+Labelled documents are the holdout; equal texts are one trial, as the tail is of independent ones. For each rule and stratum the cutoffs are tested from the most lenient on
 ("would more than ``risk`` of the good documents be rejected?") with the exact binomial tail; testing stops at the first
 cutoff that is not certified, so a rule needs no correction over its own cutoffs (fixed-sequence testing), and the level
 is divided by the number of rules and strata (Bonferroni). Among certified cutoffs the one that gains most is taken.
@@ -72,10 +72,10 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the counts, each a column of its own, and ``base_failed``."""
-    s = with_counts(docs).select(*keep, "stats")
+    """The columns ``keep`` and the counts, each a column of its own, a hash of the text, and ``base_failed``."""
+    s = with_counts(docs).select(*keep, F.xxhash64("text").alias("__same"), "stats")
     flat = s.select(
-        *keep, F.col("stats.w.n_words").alias("n_words"), F.col("stats.w.word_chars").alias("word_chars"), F.col("stats.n_symbols").alias("n_symbols"),
+        *keep, "__same", F.col("stats.w.n_words").alias("n_words"), F.col("stats.w.word_chars").alias("word_chars"), F.col("stats.n_symbols").alias("n_symbols"),
         F.col("stats.l.n_dup_lines").alias("n_dup_lines"), F.col("stats.w.n_repeat_words").alias("n_repeat_words"),
         F.col("stats.l.n_lines").alias("n_lines"), F.col("stats.n_capitals").alias("n_capitals"),
     )
@@ -132,7 +132,9 @@ def _verdicts(rows: DataFrame, labels: DataFrame, risk: float, level: float) ->
     The cutoffs go to the rows, a few for each stratum; rows aren't shuffled.
     """
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("long").alias("good"))
-    holdout = rows.filter(~F.col("base_failed")).select("doc_id", F.col("__stratum").alias("stratum"), *RULES).join(marks, "doc_id")
+    holdout = rows.filter(~F.col("base_failed")).select("doc_id", F.col("__stratum").alias("stratum"), "__same", *RULES).join(marks, "doc_id")
+    # a text is one trial, good if any label of it says so; its steps are those of its copies
+    holdout = holdout.groupBy("stratum", "__same", *RULES).agg(F.max("good").alias("good"))
     found = written(cutoffs(holdout, risk, level), "cutoffs")
     wide = found.groupBy(F.col("stratum").alias("__stratum")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
     wide = wide.select("__stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
@@ -150,7 +152,7 @@ def _stratum(column: str) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, stratum: str = "lang") -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of ``docs``.
 
-    Null or empty texts have no words and fail the base rule. A null stratum is a stratum of its own; one without
+    Texts may be of any length. Null or empty texts have no words and fail the base rule. A null stratum is a stratum of its own; one without
     enough labels has no certified cutoff and keeps all that the base rule keeps. Repeated rows are judged alike;
     labels that are null take no part and of several labels of a document the largest counts. Empty tables give no rows.
     """

@@ -179,7 +179,8 @@ def _ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repaired(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     """conv_id, turn, role, action, new_role, n_inserted and rendered for every turn of ``turns``.
 
-    Turns are taken in the order of ``turn``, nulls first; equal turns by role, then text. A null or empty text is an empty turn and stays.
+    Turns are taken in the order of ``turn``, nulls first; equal turns by role, then by a hash of the text (texts may be very long), then by the text: in how many
+    partitions a conversation lies makes no difference to it. A null or empty text is an empty turn and stays. Other columns, whatever their names, are left out.
     A null or strange role is unknown and gets the cheapest one. Turns with a null conv_id are one conversation. A conversation that runs through
     several partitions is repaired at the same least cost; among equally cheap ways the partitions' edges may decide. Repeated rows are turns
     of their own. An empty table gives no rows.
@@ -187,9 +188,9 @@ def repaired(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = turns.sparkSession
     shared_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv_id", "turn", "role", "text"]
+    cut = ["conv_id", "turn", "role", F.xxhash64("text")]
     slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = slim.repartitionByRange(n, "conv_id", "turn", "role", F.xxhash64("text")).sortWithinPartitions(*order).checkpoint()
+    rows = slim.repartitionByRange(n, *cut).sortWithinPartitions(*cut, "text").checkpoint()
     # at most two small matrices for each partition
     ends = sorted(rows.mapInPandas(_ends, "at int, k int, conv_id long, m array<long>").collect(), key=lambda r: (r["at"], r["k"]))
     runs: list[list] = []
@@ -214,11 +215,13 @@ def repaired(turns: DataFrame, partitions: int | None = None) -> DataFrame:
 
     def batched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        n = 0
         for f in work(frames):
             held.append(f)
-            if sum(map(len, held[-1:])) > 5000 or len(held) >= 500:
+            n += len(f)
+            if n > 5000:
                 yield pd.concat(held)
-                held = []
+                held, n = [], 0
         if held:
             yield pd.concat(held)
 

@@ -25,6 +25,7 @@ BITS = 63
 DIGIT = 12
 KEYS = ("k_text", "k_doc", "k_row")
 CELLS = 4096
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 @dataclass
@@ -119,7 +120,8 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the columns ``carry`` for every row of ``docs``.
 
     Within a shard rows are numbered in the order of cells of the key; a cell is a stretch of the text's hash, and heavy cells
-    (many rows, such as copies of one text) are stretches of doc_id's hash too, so that no task numbers a heavy group alone.
+    (many rows, such as copies of one text) are cut by a hash of the row's place, so that no task numbers a heavy group alone, not even one of repeated rows.
+    A carried column that is named as a column of the result gets ``_carried`` at its end.
     A null text has size 8 and the checksum of no bytes; a null doc_id is a key like any other; repeated rows are told apart by their
     place; an empty table gives no rows. With fewer rows than shards some shards are empty.
     """
@@ -127,7 +129,7 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        positive(text).alias("k_text"), positive("doc_id").alias("k_doc"), F.monotonically_increasing_id().alias("__row"), *carry,
+        positive(text).alias("k_text"), positive("doc_id").alias("k_doc"), F.monotonically_increasing_id().alias("__row"), F.struct(F.lit(True).alias("__one"), *[F.col(f"`{c}`") for c in carry]).alias("__carry"),
     )
     rows = written(slim.withColumn("k_row", positive("__row")).drop("__row"), "keys")  # the text is read this once
     shard = F.lit(0)
@@ -137,9 +139,9 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     cell = F.shiftright("k_text", BITS - width)
     heavy = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))  # CELLS rows at most
     mean = heavy.agg(F.avg("n").alias("mean"))
-    # as many parts as keep a part near the mean; at most 4,096, by the leading bits of doc_id's hash
-    parts = heavy.join(F.broadcast(mean)).select("cell", F.when(F.col("n") > 4 * F.col("mean"), F.least(F.lit(4096), F.ceil(F.col("n") / F.col("mean")).cast("int"))).otherwise(F.lit(1)).alias("parts"))
-    part = (F.shiftright("k_doc", BITS - 31) * F.col("parts")).cast("long")
+    # as many parts as keep a part near the mean, by the leading bits of the hash of the row's place; never over CELLS, as no cell has more rows than all have
+    parts = heavy.join(F.broadcast(mean)).select("cell", F.when(F.col("n") > 4 * F.col("mean"), F.ceil(F.col("n") / F.col("mean")).cast("int")).otherwise(F.lit(1)).alias("parts"))
+    part = (F.shiftright("k_row", BITS - 31) * F.col("parts")).cast("long")
     placed = rows.withColumns({"shard": shard, "cell": cell}).join(F.broadcast(parts), "cell").withColumn("part", F.shiftright(part, 31).cast("int"))
     # cells are few (CELLS and the parts of heavy ones, cut at most shards - 1 times more), so where each starts is broadcast too
     starts = placed.groupBy("shard", "cell", "part").agg(F.count("*").alias("n"))
@@ -147,7 +149,7 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     starts = starts.select("shard", "cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = W.partitionBy("shard", "cell", "part").orderBy(*KEYS)
     out = placed.withColumn("__place", F.row_number().over(inside)).join(F.broadcast(starts), ["shard", "cell", "part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("__place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carry)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("__place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *[F.col("__carry").getField(c).alias(f"{c}_carried" if c in RESULT else c) for c in carry])
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

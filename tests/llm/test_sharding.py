@@ -1,5 +1,7 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 from lexforge.llm.sharding import SHARDS, histogram_shards
 
@@ -30,7 +32,25 @@ def test_sizes_are_near_equal_and_copies_lie_together(documents):
 
 def test_messy_rows(messy):
     docs = [(r[0], r[1]) for r in messy.select("doc_id", "text").collect()]
-    check(histogram_shards(messy, carry=("first", "shard")[:1]).collect(), docs)
+    check(histogram_shards(messy).collect(), docs)
+
+
+def test_carried_columns(messy):
+    """Also those that are named as columns of the result, or as the operator's own."""
+    docs = messy.withColumns({"size": F.length("text"), "cell": F.lit("c"), "part": F.lit("p"), "k_row": F.lit("k"), "__row": F.lit("r")})
+    got = histogram_shards(docs, carry=("first", "shard", "size", "cell", "part", "k_row", "__row")).collect()
+    check(got, [(r[0], r[1]) for r in messy.select("doc_id", "text").collect()])
+    of = {r.doc_id: len(r.text) for r in messy.collect() if r.doc_id is not None and r.text is not None}
+    assert all((r["first"], r["shard_carried"], r["cell"], r["part"], r["k_row"], r["__row"]) == ("x", "x", "c", "p", "k", "r") for r in got)
+    assert all(r["size_carried"] == of[r.doc_id] for r in got if r.doc_id in of)
+
+
+def test_repeated_rows_fill_many_shards(spark):
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 2 = 0 THEN 7L END AS doc_id", "'same text' AS text")
+    got = histogram_shards(docs).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 3000 and len(sizes) == SHARDS and max(sizes.values()) - min(sizes.values()) <= 5
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
 
 
 def test_one_group_fills_many_shards(spark):

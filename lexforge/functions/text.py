@@ -137,9 +137,14 @@ def byte_level(text: Column | str) -> Column:
 
 def from_byte_level(text: Column | str) -> Column:
     """Back from ``byte_level``; characters outside the table are not allowed."""
+    return F.decode(raw_of_byte_level(text), "UTF-8")
+
+
+def raw_of_byte_level(text: Column | str) -> Column:
+    """The bytes that byte-level text stands for, which need not be whole characters."""
     # translate() drops characters that become NUL, so that one is replaced first
     plain = F.replace(_col(text), F.lit(_TO[0]), F.decode(F.unhex(F.lit("00")), "UTF-8"))
-    return F.decode(F.encode(F.translate(plain, _TO[1:], _FROM[1:]), "ISO-8859-1"), "UTF-8")
+    return F.encode(F.translate(plain, _TO[1:], _FROM[1:]), "ISO-8859-1")
 
 
 def spelled(text: Column | str) -> Column:

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,21 +104,14 @@ def train(counts: DataFrame, size: int, min_frequency: int = 2, special: tuple[s
     for c in alphabet:
         out.ids[c.encode()] = first + len(out.ids)
     token_of = {i: b for b, i in out.ids.items()}
-    words = [[out.ids[bytes([_BYTE[c]])] for c in r["piece"]] for r in rows]
-    weight = [r["n"] for r in rows]
-    count: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, w in enumerate(words):
-        for pair in zip(w, w[1:], strict=False):
-            count[pair] += weight[k]
-            where[pair].add(k)
-    heap = [(-n, pair) for pair, n in count.items()]
+    state = _Words([r["piece"] for r in rows], [r["n"] for r in rows], {c: out.ids[bytes([_BYTE[c]])] for c in _TABLE})
+    heap = [(-n, pair) for pair, n in state.count.items()]
     heapq.heapify(heap)
     while heap and len(out.merges) < room:
         n, pair = heapq.heappop(heap)
-        if -n != count[pair]:
-            if count[pair] > 0:
-                heapq.heappush(heap, (-count[pair], pair))
+        if -n != (now := state.count.get(pair, 0)):
+            if now > 0:
+                heapq.heappush(heap, (-now, pair))
             continue
         if -n < max(1, min_frequency):
             break
@@ -127,38 +121,104 @@ def train(counts: DataFrame, size: int, min_frequency: int = 2, special: tuple[s
             new = first + len(out.ids)
             out.ids[a + b], token_of[new] = new, a + b
         out.merges.append((a, b))
-        touched = set()
-        for k in where.pop(pair):
-            w, done, i = words[k], [], 0
-            while i < len(w):
-                if i + 1 < len(w) and (w[i], w[i + 1]) == pair:
-                    done.append(new)
-                    i += 2
-                else:
-                    done.append(w[i])
-                    i += 1
-            for p in zip(w, w[1:], strict=False):
-                count[p] -= weight[k]
-            for p in zip(done, done[1:], strict=False):
-                count[p] += weight[k]
-                where[p].add(k)
-                touched.add(p)
-            words[k] = done
-        count.pop(pair, None)
-        for p in touched:
-            if count[p] > 0:
-                heapq.heappush(heap, (-count[p], p))
+        for p in state.merge(pair, new):
+            if state.count.get(p, 0) > 0:
+                heapq.heappush(heap, (-state.count[p], p))
     return out
 
 
+class _Words:
+    """All distinct pieces as one chain of tokens in arrays, how often each pair of neighbours occurs, and where."""
+
+    def __init__(self, pieces: list[str], weights: list[int], id_of: dict[str, int]):
+        size = np.array([len(p) for p in pieces], np.int64)
+        ends = np.cumsum(size)
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
+        to = np.zeros(max(map(ord, id_of)) + 1, np.int64)
+        to[[ord(c) for c in id_of]] = list(id_of.values())
+        self.token, at = to[codes], np.arange(len(codes), dtype=np.int64)
+        self.after, self.before = at + 1, at - 1
+        self.after[ends[size > 0] - 1] = -1
+        self.before[(ends - size)[size > 0]] = -1
+        self.weight = np.repeat(np.array(weights, np.int64), size)
+        self.count: dict[tuple[int, int], int] = {}
+        self.where: dict[tuple[int, int], list[np.ndarray]] = {}
+        self._note(at[self.after >= 0])
+
+    def _grouped(self, starts: np.ndarray) -> Iterator[tuple[tuple[int, int], int, np.ndarray]]:
+        """The pairs that start at ``starts``: (pair, weight, where)."""
+        if not len(starts):
+            return
+        keys = (self.token[starts] << 32) | self.token[self.after[starts]]
+        order = np.argsort(keys, kind="stable")
+        keys, starts = keys[order], starts[order]
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sums = np.add.reduceat(self.weight[starts], cuts)
+        for key, n, lo, hi in zip(keys[cuts].tolist(), sums.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+            yield (key >> 32, key & 0xFFFFFFFF), n, starts[lo:hi]
+
+    def _note(self, starts: np.ndarray) -> list[tuple[int, int]]:
+        found = []
+        for pair, n, where in self._grouped(starts):
+            self.count[pair] = self.count.get(pair, 0) + n
+            self.where.setdefault(pair, []).append(where)
+            found.append(pair)
+        return found
+
+    def merge(self, pair: tuple[int, int], new: int) -> list[tuple[int, int]]:
+        """Replace the pair everywhere, from the left; the pairs that this brings about."""
+        at = np.unique(np.concatenate(self.where.pop(pair)))
+        at = at[self.token[at] == pair[0]]
+        at = at[self.after[at] >= 0]
+        at = at[self.token[self.after[at]] == pair[1]]
+        if pair[0] == pair[1] and len(at):  # of overlapping ones every second, from the left end of their run
+            fresh = np.append(True, self.after[at[:-1]] != at[1:])
+            run = np.flatnonzero(fresh)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        second = self.after[at]
+        left, right = self.before[at], self.after[second]
+        for p, n, _ in self._grouped(np.unique(np.concatenate([left[left >= 0], second[right >= 0]]))):
+            self.count[p] -= n
+        self.token[at], self.token[second] = new, -1
+        self.after[at] = right
+        self.before[right[right >= 0]] = at[right >= 0]
+        self.count.pop(pair, None)
+        left = self.before[at]
+        return self._note(np.unique(np.concatenate([left[left >= 0], at[right >= 0]])))
+
+
+def trie_pattern(tokens: list[str]) -> str:
+    """A pattern that matches the longest of ``tokens``; tokens with a common start share it, so a match takes no longer with many of them."""
+    root: dict = {}
+    for t in tokens:
+        node = root
+        for c in t:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def spell(node: dict) -> str:
+        leaves = sorted(c for c, below in node.items() if c and below.keys() == {""})
+        rest = [re.escape(c) + spell(below) for c, below in sorted(node.items()) if c and below.keys() != {""}]
+        if leaves:
+            rest.append("[" + "".join(map(re.escape, leaves)) + "]" if len(leaves) > 1 else re.escape(leaves[0]))
+        if not rest:
+            return ""
+        return ("(?:" + "|".join(rest) + ")" if len(rest) > 1 or "" in node else rest[0]) + ("?" if "" in node else "")
+
+    return spell(root)
+
+
+_codecs: dict[str, Codec] = {}
+
+
 class Codec:
     """Texts to ids and back. Added tokens are matched first, leftmost and longest; then pieces are merged by least id."""
 
     def __init__(self, vocabulary: Vocabulary, words: dict[str, str] | None = None):
         self.vocabulary, self.words = vocabulary, dict(words or {})
         self.whole = {**vocabulary.added, **vocabulary.special}
-        some = sorted(self.whole, key=lambda t: (-len(t), t))
-        self.matcher = re.compile("|".join(map(re.escape, some))) if some else None
+        self.name = uuid.uuid4().hex
+        self.matcher = re.compile(trie_pattern(list(self.whole))) if self.whole else None
         self.bytes_of = {i: b for b, i in vocabulary.ids.items()} | {i: t.encode() for t, i in self.whole.items()}
         self.special_ids = set(vocabulary.special.values())
         self.back = {ord(c): w for w, c in self.words.items()}
@@ -219,11 +279,31 @@ class Codec:
 
         @F.pandas_udf("array<int>")
         def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            own = _codecs.setdefault(self.name, self)  # one for each process, with the pieces it has met
             for batch in batches:
-                yield pd.Series([None if t is None else self.encode_substituted(t) for t in batch], dtype=object)
+                yield pd.Series([None if t is None else own.encode_substituted(t) for t in batch], dtype=object)
 
         return ids(substituted(text, self.words))
 
+    def encode_words_column(self, words: Column | str) -> Column:
+        """The ids of a text that is split already (an array of strings): those of its words, one after another."""
+        joined = F.transform(F.col(words) if isinstance(words, str) else words, lambda w: F.coalesce(w, F.lit("")))
+
+        @F.pandas_udf("array<int>")
+        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            from lexforge.operators.mapping import substituted_text
+
+            own = _codecs.setdefault(self.name, self)
+            for batch in batches:
+                yield pd.Series([None if ws is None else [i for w in ws for i in own.encode_substituted(substituted_text(w, own.words))] for ws in batch], dtype=object)
+
+        return ids(joined)
+
+    def tokens_to_text(self, tokens: list[str]) -> str:
+        """From the spellings of tokens, as in the vocabulary's table, to text."""
+        data = b"".join(t.encode() if t in self.whole else to_bytes(t) for t in tokens)
+        return data.decode("utf-8", "replace").translate(self.back)
+
     def decode_column(self, ids: Column | str, skip_special: bool = False) -> Column:
         @F.pandas_udf("string")
         def texts(batch: pd.Series) -> pd.Series:
@@ -232,6 +312,25 @@ class Codec:
         return texts(ids)
 
 
+def decoded_by_join(ids: DataFrame, vocabulary: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key`` and ``text`` of rows (key, ids), by joins alone: ids that the vocabulary (id, token, kind) lacks are left out.
+
+    A vocabulary is bounded, so it is broadcast. Byte-level tokens are spelled back once for each id; others are as they are.
+    """
+    data = F.when(F.col("kind") == "bpe", X.raw_of_byte_level("token")).otherwise(F.encode("token", "UTF-8"))
+    spelled = F.broadcast(vocabulary.select(F.col("id").alias("__id"), F.hex(data).alias("__hex")))
+    rows = ids.select(key, F.posexplode_outer("ids").alias("__at", "__id")).join(spelled, "__id", "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("__hex").isNotNull(), F.struct("__at", "__hex"))))
+    return rows.groupBy(key).agg(F.decode(F.unhex(F.array_join(F.transform(parts, lambda p: p["__hex"]), "")), "UTF-8").alias("text"))
+
+
+def without_special(vocabulary: Vocabulary, drop: Iterable[str]) -> Vocabulary:
+    """The vocabulary without some of its added and special tokens; all other ids stay."""
+    gone = set(drop)
+    keep = lambda d: {t: i for t, i in d.items() if t not in gone}
+    return Vocabulary(dict(vocabulary.ids), keep(vocabulary.special), keep(vocabulary.added), list(vocabulary.merges))
+
+
 def private_use_merges(merges: DataFrame) -> DataFrame:
     """Merges (rank, left, right) both sides of which are a single private-use character."""
     return merges.filter(X.is_private_use("left") & X.is_private_use("right"))

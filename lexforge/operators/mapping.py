@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -85,6 +86,15 @@ def parts_of(token: str, words: dict[str, str]) -> list[str]:
     return [token]
 
 
+#: The same pattern as this engine spells it.
+_token = regex.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", P.TOKEN).replace("(?U:", "(?:") + "|(?s:.)")
+
+
+def substituted_text(text: str, words: dict[str, str]) -> str:
+    """As ``substituted``, for one text on the driver or in a worker."""
+    return "".join("".join(parts_of(t, words)) for t in _token.findall(text)) if words else text
+
+
 def substituted(text: Column | str, words: dict[str, str]) -> Column:
     """The text with mapped words and parts as single characters. Tokens are found in the JVM; the dictionary is in the worker."""
 

@@ -112,7 +112,7 @@ def build(spark: SparkSession, source: str | DataFrame, output: str, config: Con
     status = corpus.judged(records, config.enable_secret_scrub, config.enable_license_filter, config.license_allowlist).persist()
     stats = corpus.ingest_stats(status).first().asDict()
     kept = status.filter("status = 'kept'").drop("status")
-    corpus.write_shards(kept, f"{output}/shards")
+    corpus.write_shards(kept, f"{output}/shards", bytes_per_shard=config.shard_size_bytes)
     kept = corpus.read_shards(spark, f"{output}/shards")
     status.unpersist()
     timing["ingest"] = time.time() - began

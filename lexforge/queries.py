@@ -107,18 +107,19 @@ def _files(docs: DataFrame) -> DataFrame:
 
 @query(f"SELECT path, strlen(text)::BIGINT AS n_bytes FROM (SELECT {_PATH} AS path, text FROM documents) WHERE lower(path[-3:]) IN ('.py', '.md') AND strlen(text) <= 20000")
 def corpus_files_filter(spark, sf_dir):
-    n = F.octet_length("text").cast("long")
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return _files(_docs(spark, sf_dir)).filter(suffix.isin(".py", ".md") & (n <= 20_000)).select("path", n.alias("n_bytes"))
+    files = _files(_docs(spark, sf_dir)).withColumn("length", F.octet_length("text").cast("long"))
+    return corpus.wanted(files, (".PY", ".md"), 20_000).select("path", F.col("length").alias("n_bytes"))
 
 
 _JUDGED = f"""j AS (SELECT doc_id, path, t, CASE WHEN t IS NULL THEN 'decode' WHEN t = '' THEN 'size' WHEN ({_NAME.format("t")}) IS NOT NULL THEN 'secret' WHEN NOT {_ALLOWED.format("t")} THEN 'license' END AS reject
- FROM (SELECT doc_id, {_PATH} AS path, {_HEADED.replace(", text)", ", " + _SECRET + ")")} AS t FROM documents)),
+ FROM (SELECT doc_id, {_PATH} AS path, {_HEADED.replace(", text)", ", " + _SECRET + ")")} AS t FROM (FROM documents UNION ALL FROM documents WHERE doc_id % 4 = 1))),
  s AS (SELECT path, t, coalesce(reject, CASE WHEN row_number() OVER (PARTITION BY reject, t ORDER BY path) > 1 THEN 'dedup' ELSE 'kept' END) AS status FROM j)"""
 
 
 def _records(spark, sf_dir):
-    return _files(_docs(spark, sf_dir)).select("path", _headed_text(_secret_text()).alias("text"))
+    """Every document, and a fourth of them once more: records of one path and text."""
+    docs = _docs(spark, sf_dir)
+    return _files(docs.union(docs.filter("doc_id % 4 = 1"))).select("path", _headed_text(_secret_text()).alias("text"))
 
 
 @query(f"WITH {_JUDGED} SELECT path, sha256(t) AS sha256, status FROM s")
@@ -134,7 +135,7 @@ def ingest_stats(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL GROUP BY text")
 def exact_dedup(spark, sf_dir):
-    return _docs(spark, sf_dir).filter("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"))
+    return corpus.exact_dedup(_docs(spark, sf_dir), "doc_id")
 
 
 @query("SELECT doc_id, prefix FROM (SELECT doc_id, substr(sha256(text), 1, 16) AS prefix FROM documents WHERE text IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY doc_id) = 1")
@@ -466,12 +467,12 @@ def prompt_helpers(spark, sf_dir):
 
 
 _FENCED = "CASE turn % 3 WHEN 0 THEN 'So:' || chr(10) || '```python' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || '```' || chr(10) || text || ' ' || chr(10) || '```' WHEN 1 THEN '  ' || text || chr(10) ELSE text END"
+_TRIMMED = "regexp_replace({0}, '^[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+|[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+$', '', 'g')"
 
 
-@query(f"""SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 AND length(text) > 5 AND NOT contains(text, '```') THEN trim(text, ' ' || chr(10) || chr(9)) WHEN turn % 3 = 0 AND NOT contains(text, '```') THEN 'x = 1' ELSE trim(t, ' ' || chr(10) || chr(9)) END AS code
-FROM (SELECT conv_id, turn, role, text, {_FENCED} AS t FROM conversations WHERE NOT contains(text, '```'))""")
+@query(f"""WITH t AS (SELECT conv_id, turn, role, {_TRIMMED.format(_FENCED)} AS t FROM conversations), f AS (SELECT *, regexp_extract_all(t, '(?is)```(?:python|py)?\\s*\\n(.*?)```', 1) AS l FROM t)
+SELECT conv_id, turn, role, CASE WHEN len(l) > 0 THEN {_TRIMMED.format("list_reduce(list_prepend('', l), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END)")} ELSE t END AS code FROM f""")
 def markdown_code_extract(spark, sf_dir):
     k = F.col("turn") % 3
     fenced = F.when(k == 0, F.concat(F.lit("So:\n```python\nx = 1\n```\n```\n"), "text", F.lit(" \n```"))).when(k == 1, F.concat(F.lit("  "), "text", F.lit("\n"))).otherwise(F.col("text"))
-    rows = _table(spark, sf_dir, "conversations").filter(~F.col("text").contains("```"))
-    return rows.select("conv_id", "turn", "role", X.code_of_markdown(fenced).alias("code"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", X.code_of_markdown(fenced).alias("code"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +14,8 @@ from lexforge.functions import text as X
 from lexforge.functions.patterns import ALLOWED_LICENSES
 
 RECORD = "path string, text string, sha256 string"
+#: Hashes of copies that are broadcast at most.
+BROADCAST_KEYS = 1 << 17
 STATUS = ("decode", "size", "secret", "license", "dedup", "kept")
 
 
@@ -21,8 +25,24 @@ def corpus_files(spark: SparkSession, directory: str, extensions: Iterable[str],
     Both filters are on metadata: content that isn't selected isn't read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    return wanted(files, extensions, max_bytes).select("path", "length", "content")
+
+
+def wanted(files: DataFrame, extensions: Iterable[str], max_bytes: int, min_bytes: int = 0) -> DataFrame:
+    """Rows (path, length and others) of a wanted suffix, in any case, and a size within the bounds."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return files.filter((F.col("length") <= max_bytes) & suffix.isin([e.lower() for e in extensions])).select("path", "length", "content")
+    return files.filter(F.col("length").between(min_bytes, max_bytes) & suffix.isin([e.lower() for e in extensions]))
+
+
+def gathered(files: DataFrame, extensions: Iterable[str], n: int) -> DataFrame:
+    """The first ``n`` files by path of a wanted suffix."""
+    return wanted(files, extensions, 2**62).orderBy("path").limit(n)
+
+
+def holdout(files: DataFrame, extensions: Iterable[str], n: int, seed: int = 42, min_bytes: int = 200, max_bytes: int = 200_000) -> DataFrame:
+    """``n`` files chosen by a seeded hash of the path among those of a wanted suffix and size, with their ``kind`` (the suffix)."""
+    chosen = seeded_sample(wanted(files, extensions, max_bytes, min_bytes), "path", seed, n)
+    return chosen.withColumn("kind", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -34,8 +54,9 @@ def decoded(files: DataFrame) -> DataFrame:
 def judged(records: DataFrame, secrets: bool = True, licenses: bool = False, allowed: Iterable[str] = ALLOWED_LICENSES) -> DataFrame:
     """path, text, sha256 and status of every record.
 
-    Of equal texts that pass all else the one of the smallest path is kept. Rejection depends on the text alone, so
-    the order of records doesn't matter. Only hashes and paths are shuffled to find it, with a partial minimum.
+    Of equal texts that pass all else one of the smallest path is kept, also if records are repeated. Rejection depends on the text alone, so
+    the order of records doesn't matter, and copies are found without it: hashes and paths are counted, and only those that occur more than once are joined
+    with the records (by a broadcast, if they are BROADCAST_KEYS at most, so that texts stay where they are).
     """
     t = F.col("text")
     reject = F.when(t.isNull(), "decode").when(t == "", "size")
@@ -43,10 +64,27 @@ def judged(records: DataFrame, secrets: bool = True, licenses: bool = False, all
         reject = reject.when(X.secret_name(t).isNotNull(), "secret")
     if licenses:
         reject = reject.when(~X.license_allowed(t, allowed), "license")
-    marked = records.select("path", "text", F.sha2("text", 256).alias("sha256"), reject.alias("reject"))
-    first = marked.filter("reject IS NULL").groupBy("sha256").agg(F.min("path").alias("first"))
-    status = F.coalesce("reject", F.when(F.col("path") == F.col("first"), "kept").otherwise("dedup"))
-    return marked.join(first, "sha256", "left").select("path", "text", "sha256", status.alias("status"))
+    hashed = records.select("path", "text", F.sha2("text", 256).alias("sha256"))
+    times = hashed.filter("text <> ''").groupBy("sha256", "path").agg(F.count("*").alias("n"))
+    # the least path, null paths last; several records may have it
+    best = F.min(F.struct(F.col("path").isNull().alias("none"), "path", "n")).alias("best")
+    copies = times.groupBy("sha256").agg(best, F.sum("n").alias("total")).filter("total > 1").select("sha256", F.col("best.path").alias("__first"), F.col("best.n").alias("__times")).persist()
+    few, repeated = copies.count() <= BROADCAST_KEYS, not copies.filter("__times > 1").isEmpty()
+    rows = hashed.join(F.broadcast(copies) if few else copies, "sha256", "left")
+    other = F.col("__times").isNotNull() & ~F.col("path").eqNullSafe(F.col("__first"))
+    tied = F.coalesce(~other & (F.col("__times") > 1), F.lit(False))
+    status = F.coalesce(reject, F.when(other, "dedup").otherwise("kept")).alias("status")
+    if not repeated:
+        return rows.select("path", "text", "sha256", status)
+    # records that are equal in all are counted, and as many rows of them come back
+    equal = rows.filter(tied).groupBy("path", "text", "sha256").agg(F.count("*").alias("__n")).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    equal = equal.select("path", "text", "sha256", F.coalesce(reject, F.when(F.col("__k") == 1, "kept").otherwise("dedup")).alias("status"))
+    return rows.filter(~tied).select("path", "text", "sha256", status).unionByName(equal)
+
+
+def exact_dedup(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """sha256 and the least ``key`` of each distinct text that isn't null."""
+    return rows.filter(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("sha256")).agg(F.min(key).alias(key))
 
 
 def ingest_stats(judged_: DataFrame) -> DataFrame:
@@ -81,14 +119,35 @@ def hub_split(rows: DataFrame, licenses: Iterable[str], prefix: str = "0", short
     return fit.select("content", F.sha2("content", 256).alias("sha256"), X.split_of("content", prefix).alias("split")).dropDuplicates(["sha256"])
 
 
-def write_shards(records: DataFrame, path: str, rows_per_file: int = 0) -> None:
-    """JSON lines, compressed; ``rows_per_file`` rows at most in a file."""
-    out = records.select("path", "text", "sha256").write.mode("overwrite").option("compression", "gzip")
+def sharded(records: DataFrame, most: int) -> DataFrame:
+    """``records`` (path, text, sha256) with ``shard``: within a partition a new shard starts where a line of JSON would take the current one
+    over ``most`` bytes (line ends included, uncompressed), unless that one is empty."""
+    line = records.select("path", "text", "sha256").withColumn("__size", F.octet_length(F.to_json(F.struct("path", "text", "sha256"))) + 1)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, shard, held = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            out = []
+            for n in batch.column("__size").to_pylist():
+                if held and held + n > most:
+                    shard, held = shard + 1, 0
+                held += n
+                out.append(first + shard)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], names=["path", "text", "sha256", "shard"])
+
+    return line.mapInArrow(number, RECORD + ", shard long")
+
+
+def write_shards(records: DataFrame, path: str, rows_per_file: int = 0, bytes_per_shard: int = 0) -> None:
+    """JSON lines, compressed; at most ``rows_per_file`` rows or ``bytes_per_shard`` bytes in a file, if given."""
+    rows = sharded(records, bytes_per_shard) if bytes_per_shard else records.select("path", "text", "sha256")
+    out = rows.write.mode("overwrite").option("compression", "gzip")
+    out = out.partitionBy("shard") if bytes_per_shard else out
     (out.option("maxRecordsPerFile", rows_per_file) if rows_per_file else out).json(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path).select("path", "text", "sha256")
 
 
 def corpus_hash(records: DataFrame) -> DataFrame:

@@ -7,32 +7,58 @@ operators say; empty tables give no rows.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import near_dedup, packing, quality_mil, quality_rules, sanitise
-from lexforge.llm.shared import table, written
+from lexforge.llm.shared import free, made_since, table, written
+
+_left: set[str] = set()
+
+
+def _stage(work):
+    """``work``, after which its tables are known, and before which those of the stages before it go, unless ``docs`` still reads them."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _left
+        if _left and not any(t.rsplit("/", 1)[-1] in f for f in docs.inputFiles() for t in _left):
+            free(*_left)
+            _left = set()
+        before = made_since()
+        out = work(spark, docs, sf_dir)
+        _left |= made_since(before)
+        return out
+
+    return run_stage
 
 
+@_stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the quality rules keep."""
     return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the classifier keeps; it learns from the labelled documents among ``docs``."""
     return quality_mil.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return near_dedup.one_of_each(docs)
 
 
+@_stage
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data, and terms that disclose them, replaced; ``n_chars`` follows the text."""
     return sanitise.clean_documents(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and where they lie in the training sequences."""
     return packing.packed(docs)

@@ -11,7 +11,8 @@ Candidates. Bands of 6 registers, 42 of them: at similarity 0.8 a pair has no ba
 collapsed first. Each bucket links its members to its smallest row, so n members give n - 1 links and never all
 pairs; the components of these links hold every pair that any bucket holds.
 
-Verification. A component goes to one task if it is small; else its members are dealt into blocks, and each pair of blocks is a task. In a task
+Verification. A component goes to one task if it is small. In a large one each row is compared with the head of one bucket first; what classes that makes
+are dealt into blocks, and each pair of blocks of different classes is a task. In a task
 the exact overlap of multisets decides, and pairs are left out only by proof: two texts are in one class already, or a bound on the
 overlap or the triangle inequality of the Jaccard distance rules them out. So no link is lost within a component, whatever its size.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.shared import bytes_of, chunks, folded, hashed_words, mix, table, written
+from lexforge.llm.shared import bytes_of, chunks, folded, free, hashed_words, made_since, mix, sent_or_shuffled, spread_join, table, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +38,8 @@ REGISTERS = BAND * BANDS
 UNIT_ROWS = 2000
 UNIT_WEIGHT = 3_000_000
 SKETCH = 512
+#: Rows of three numbers that are broadcast at most, so that texts stay where they are; with more, texts are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,41 +75,49 @@ def multisets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
-    """Registers of each document, as times; infinite where a document has no shingle."""
+    """Registers of each document, as times; infinite where a document has no shingle.
+
+    Points are made in stretches of time. After each, a document all of whose registers are taken is done: what comes later is later than its
+    slowest register. The others go on from where they are.
+    """
     out = np.full(n_docs * registers, np.inf)
     total = np.bincount(doc, weight, n_docs)
-    end = np.divide(np.log(registers) + 4, total, out=np.zeros(n_docs), where=total > 0)
-    todo = np.flatnonzero(total > 0)
-    begin = np.zeros(n_docs)
-    while len(todo):
-        mine = np.isin(doc, todo) if len(todo) < n_docs else np.ones(len(doc), bool)
-        d0, h0, w0 = doc[mine], h[mine], weight[mine]
-        top = int(w0.max()).bit_length() + 1
-        for level in range(top):
-            low, width = (0, 1) if level == 0 else (1 << (level - 1), 1 << (level - 1))
-            some = w0 > low
-            if not some.any():
-                break
-            d, w = d0[some], w0[some]
-            seed = mix(h0[some] + _salt(level))
-            time, limit = np.zeros(len(d)), end[d]
-            step = 0
-            while len(d):
-                step += 1
-                r = mix(seed + _salt(step))
-                time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (width * registers)
-                live = time < limit
-                if not live.all():
-                    d, w, seed, time, limit, r = d[live], w[live], seed[live], time[live], limit[live], r[live]
-                q = mix(r ^ np.uint64(0xD6E8FEB86659FD93))
-                register = ((q >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
-                place = low + (((q & np.uint64(0xFFFFFFFF)) * np.uint64(width)) >> np.uint64(32)).astype(np.int64)
-                below = place < w
-                np.minimum.at(out, d[below] * registers + register[below].astype(np.int64), time[below])
-        open_ = np.isinf(out.reshape(n_docs, registers)[todo]).any(axis=1)
-        todo = todo[open_]
-        begin[todo] = end[todo]
-        end[todo] *= 2
+    unit = np.divide(1, total, out=np.zeros(n_docs), where=total > 0)
+    end = unit * max(1.0, np.log(registers) - 1)
+    # one process for each shingle and level
+    parts = []
+    for level in range(int(weight.max()).bit_length() + 1 if len(weight) else 0):
+        low, width = (0, 1) if level == 0 else (1 << (level - 1), 1 << (level - 1))
+        some = np.flatnonzero(weight > low)
+        if not len(some):
+            break
+        parts.append((doc[some], weight[some], np.full(len(some), low), np.full(len(some), width), mix(h[some] + _salt(level))))
+    if not parts:
+        return out.reshape(n_docs, registers)
+    d, w, low, width, seed = (np.concatenate(x) for x in zip(*parts, strict=True))
+    step = np.ones(len(d), np.uint64)
+    salted = np.uint64(0x9E3779B97F4A7C15)
+    point = lambda some: mix(seed[some] + step[some] * salted)
+    gap = lambda r, some: -np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (width[some] * registers)
+    everything = slice(None)
+    now = point(everything)
+    time = gap(now, everything)
+    while len(d):
+        live = np.flatnonzero(time < end[d])
+        while len(live):
+            q = mix(now[live] ^ np.uint64(0xD6E8FEB86659FD93))
+            register = ((q >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
+            place = low[live] + (((q & np.uint64(0xFFFFFFFF)) * width[live].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            below = place < w[live]
+            np.minimum.at(out, d[live[below]] * registers + register[below].astype(np.int64), time[live[below]])
+            step[live] += np.uint64(1)
+            now[live] = point(live)
+            time[live] += gap(now[live], live)
+            live = live[time[live] < end[d[live]]]
+        more = np.isinf(out.reshape(n_docs, registers)).any(axis=1)
+        left = more[d]
+        d, w, low, width, seed, step, now, time = (x[left] for x in (d, w, low, width, seed, step, now, time))
+        end[more] += unit[more]
     return out.reshape(n_docs, registers)
 
 
@@ -138,28 +149,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex of each vertex's component, for the vertices of ``edges`` (a, b).
 
-    Alternates large and small stars until every edge leads to a smallest vertex. Stars are made with a minimum per vertex
-    and a join, so a vertex of very many edges is neither collected nor sorted in one task.
+    Alternates large and small stars until every edge leads to a smallest vertex. Stars are made with a minimum per vertex and a join, in
+    which vertices of very many edges are broadcast: their edges are neither collected nor dealt to one task.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
+    total, before = now.count(), None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.filter("m < a").select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        now = written(small, "edges")
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = spread_join(both.filter("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.union(least.filter("m < a").select("a", F.col("m").alias("b"))).filter("a > b").distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = spread_join(large, low, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = written(small.union(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct(), "edges")
+        free(now, least, large, low)
+        now = new
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before:
             return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
-        before = mark
+        total, before = mark[0], mark
 
 
 class Classes:
     """Exact classes among the texts of one task: connected by weighted Jaccard similarity of at least ``least``."""
 
-    def __init__(self, texts: list[bytes], least: float = SIMILARITY):
+    def __init__(self, texts: list[bytes], least: float = SIMILARITY, known: list | None = None):
+        """known: what class each text is in already; texts of one class are in one from the start."""
         doc, h, weight = multisets(texts)
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
         self.sets = [(h[a:b], weight[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -167,7 +182,8 @@ class Classes:
         self.sketch = np.zeros((len(texts), SKETCH), np.uint16 if not len(weight) or self.total.max() < 65536 else np.uint32)
         np.add.at(self.sketch, (doc, (h % np.uint64(SKETCH)).astype(np.int64)), weight.astype(self.sketch.dtype))
         self.least = least
-        self.parent = list(range(len(texts)))
+        first: dict = {}
+        self.parent = [first.setdefault(c, i) for i, c in enumerate(known)] if known else list(range(len(texts)))
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -223,55 +239,127 @@ class Classes:
 
 
 def _verify(unit: pa.Table) -> pa.Table:
+    """Links that join the classes of a unit: row, text and class as known so far."""
     unit = unit.sort_by("row")
     row = unit.column("row").to_numpy()
-    roots = Classes([t or b"" for t in unit.column("text").cast(pa.large_binary()).to_pylist()]).run()
+    known = unit.column("class").to_pylist()
+    roots = Classes([t or b"" for t in unit.column("text").cast(pa.large_binary()).to_pylist()], known=known).run()
     return pa.table({"a": row, "b": row[roots]})
 
 
+def _verify_star(unit: pa.Table) -> pa.Table:
+    """The rows of a part of a star that are linked to its head."""
+    row, head = unit.column("row").to_numpy(), unit.column("head").to_numpy()
+    texts = unit.column("text").cast(pa.large_binary()).to_pylist()
+    at = int(np.flatnonzero(row == head)[0])
+    classes = Classes([t or b"" for t in texts])
+    hit = np.array([i != at and classes.linked(i, at)[0] for i in range(len(row))])
+    return pa.table({"a": row[hit], "b": head[hit]})
+
+
+def _parts(rows, weight):
+    """In how many parts so many rows of so much weight go."""
+    return F.greatest(F.ceil(rows / UNIT_ROWS), F.ceil(weight / UNIT_WEIGHT), F.lit(1)).cast("int")
+
+
+def _links(grouped: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): verified links that connect every class within the components ``grouped`` (v, root), and no others.
+
+    A component that fits in a task is one. In a larger one each row is first compared with the head of one of its buckets; rows so linked
+    are one class. Then classes are dealt into blocks (a large one has blocks of its own, small ones share), and each pair of blocks is a
+    task, unless both are of one class. So a large group of copies takes tasks in proportion to its rows, not to their square.
+    """
+    weights = rows.select(F.col("__nd_row").alias("v"), F.col("__nd_weight").alias("w"))
+    total = grouped.count()
+    sized = written(weights.join(sent_or_shuffled(grouped, BROADCAST_ROWS), "v"), "sized")
+    sizes = written(sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("w").alias("w")).withColumn("parts", _parts(F.col("n"), F.col("w"))), "sizes")
+    text_of = lambda units: rows.select("__nd_row", "text").join(sent_or_shuffled(units, BROADCAST_ROWS), "__nd_row").withColumnRenamed("__nd_row", "row")
+    small = sized.join(sizes.filter("parts > 1"), "root", "left_anti").select(F.col("v").alias("__nd_row"), "root", F.col("v").alias("class"))
+    links = text_of(written(small, "units")).groupBy("root").applyInArrow(_verify, "a long, b long").filter("a <> b")
+    if sizes.filter("parts > 1").isEmpty():
+        return links
+    links = written(links, "links")
+    large = written(spread_join(sized.withColumnRenamed("w", "weight"), sizes.filter("parts > 1").select("root", "n", "parts"), "root", "n", total), "large")
+    heads = candidates.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("head"))
+    starred = written(large.select("v", "weight").join(heads, "v"), "starred")
+    counts = starred.groupBy("head").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).select("head", "n", _parts(F.col("n"), F.col("w")).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")
+    members = spread_join(starred, written(counts, "counts"), "head", "n", total).select(F.col("v").alias("__nd_row"), "head", chunk.alias("chunk"))
+    leaders = counts.select(F.col("head").alias("__nd_row"), "head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    stars = text_of(written(members.unionByName(leaders), "stars")).groupBy("head", "chunk").applyInArrow(_verify_star, "a long, b long")
+    stars = written(stars, "links")
+    return links.unionByName(stars).unionByName(_between(large, stars, text_of, total))
+
+
+def _between(large: DataFrame, stars: DataFrame, text_of, total: int) -> DataFrame:
+    """Links between the classes that ``stars`` make of the rows of large components (v, root, weight)."""
+    found = components(stars).select("v", F.col("root").alias("class"))
+    of = written(large.select("v", "root", "weight").join(found, "v", "left").withColumn("class", F.coalesce("class", "v")), "classes")
+    classes = of.groupBy("root", "class").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).withColumn("parts", _parts(F.col("n"), F.col("w")))
+    many = classes.groupBy("root").agg(F.count("*").alias("k"), F.sum(F.when(F.col("parts") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("parts") == 1, F.col("w")).otherwise(0)).alias("w1"))
+    # components of one class are done
+    many = many.filter("k > 1").select("root", (2 * _parts(F.col("n1"), F.col("w1"))).alias("pool"))
+    classes = written(classes.join(many, "root"), "classes")
+    if classes.isEmpty():
+        return stars.limit(0)
+    # a block: (class, part) of a large class, (-1, part) of small ones, of which there are two parts at least
+    single = F.col("parts") == 1
+    own = F.when(single, F.lit(-1)).otherwise(F.col("class")).cast("long").alias("block")
+    number = F.when(single, F.col("pool")).otherwise(2 * F.col("parts"))
+    place = F.when(single, F.pmod(F.xxhash64("class"), F.col("pool"))).otherwise(F.pmod(F.xxhash64("v"), 2 * F.col("parts"))).cast("int")
+    placed = spread_join(of, classes.select("class", "n", "parts", "pool"), "class", "n", total).select("v", "root", "class", own, place.alias("part"))
+    groups = classes.select("root", own, number.alias("number")).distinct()
+    one, two = (groups.select("root", F.col("block").alias(f"block{k}"), F.col("number").alias(f"number{k}")) for k in (1, 2))
+    pairs = one.join(two, "root").filter((F.col("block1") < F.col("block2")) | ((F.col("block1") == -1) & (F.col("block2") == -1)))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(f"number{k}") - 1)).alias(f"part{k}")
+    pairs = pairs.select("root", "block1", "block2", "number2", every(1)).select("root", "block1", "block2", "part1", every(2)).filter("block1 < block2 OR part1 < part2")
+    pairs = written(pairs.withColumn("unit", F.monotonically_increasing_id()), "pairs")
+    sides = [pairs.select("root", F.col(f"block{k}").alias("block"), F.col(f"part{k}").alias("part"), "unit") for k in (1, 2)]
+    units = placed.join(sides[0].union(sides[1]), ["root", "block", "part"]).select(F.col("v").alias("__nd_row"), "unit", "class")
+    return written(text_of(written(units, "units")).groupBy("unit").applyInArrow(_verify, "a long, b long").filter("a <> b"), "links")
+
+
 def classed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``class_id`` (the smallest doc_id of the class) and ``first`` (one row of each class).
+    """The rows of ``docs`` with ``class_id`` (the smallest doc_id of the class) and ``first`` (true in one row of each class).
 
     Equal texts are one class. A null or empty text has no copies: its row is a class. A text without letters or digits is in one class
-    with its exact copies only. A null doc_id counts as a negative number of its own where it is all that a class has. Repeated rows are copies. All
-    columns are kept; an empty table gives no rows. Words are runs of letters and digits in lower case (ASCII), so a changed
+    with its exact copies only. A null doc_id counts as a negative number of its own where it is all that a class has. Repeated rows are copies. The row of
+    the smallest doc_id is first; of several such, the one that was read first. A text may be of any length. All columns are kept, but ``class_id`` and ``first``,
+    which are replaced; an empty table gives no rows. Words are runs of letters and digits in lower case (ASCII), so a changed
     comma or capital is no difference; a text of one to four words is one shingle.
     """
+    docs = docs.drop("class_id", "first")
     schema = T.StructType([*docs.schema.fields, T.StructField("__nd_row", T.LongType()), T.StructField("__nd_key", T.BinaryType()), T.StructField("__nd_weight", T.LongType()), T.StructField("__nd_bands", T.ArrayType(T.LongType()))])
+    earlier = made_since()
     rows = written(docs.mapInArrow(_sign, schema), "signed")
+    total = rows.count()
     keyed = rows.filter("__nd_key IS NOT NULL").select("__nd_key", F.col("__nd_row").alias("row"))
-    groups = keyed.groupBy("__nd_key").agg(F.min("row").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    copies = written(keyed.join(groups, "__nd_key").filter("row <> rep").select("row", "rep"), "copies")
-    texts = rows.join(copies.select(F.col("row").alias("__nd_row")), "__nd_row", "left_anti")
-    banded = written(texts.select(F.col("__nd_row").alias("row"), F.explode("__nd_bands").alias("band")), "bands")
-    buckets = banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
-    links = banded.join(buckets, "band").filter("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct()
-    grouped = written(components(links), "groups")
-    # components too large for a task are dealt into blocks, and each two blocks meet in a task
-    weights = rows.select(F.col("__nd_row").alias("v"), F.col("__nd_weight").alias("w"))
-    sized = grouped.join(weights, "v")
-    sizes = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / UNIT_ROWS), F.ceil(F.sum("w") / UNIT_WEIGHT)).alias("parts"))
-    sizes = sizes.withColumn("parts", F.when(F.col("parts") > 1, 2 * F.col("parts")).otherwise(F.lit(1)).cast("int"))
-    large = sizes.filter("parts > 1")
-    own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
-    small = grouped.join(large, "root", "left_anti").select(F.col("v").alias("__nd_row"), "root", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    dealt = grouped.join(large, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("own <> other")
-    units = small.union(dealt.select(F.col("v").alias("__nd_row"), "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    work = units.join(rows.select("__nd_row", "text"), "__nd_row").select("root", "i", "j", F.col("__nd_row").alias("row"), "text")
-    found = written(work.groupBy("root", "i", "j").applyInArrow(_verify, "a long, b long").filter("a <> b"), "links")
-    if large.isEmpty():
-        roots = found.select(F.col("a").alias("row"), F.col("b").alias("root"))  # a task has found whole classes
-    else:
-        roots = components(found).filter("v <> root").select(F.col("v").alias("row"), "root")
-    moved = copies.join(roots.withColumnRenamed("row", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("root")).union(roots)
+    groups = written(keyed.groupBy("__nd_key").agg(F.min("row").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    copies = written(spread_join(keyed, groups, "__nd_key", "n", total).filter("row <> rep").select("row", "rep"), "copies")
+    texts = rows.select("__nd_row", "__nd_bands").join(sent_or_shuffled(copies.select(F.col("row").alias("__nd_row")), BROADCAST_ROWS), "__nd_row", "left_anti")
+    banded = texts.select(F.col("__nd_row").alias("row"), F.explode("__nd_bands").alias("band"))
+    buckets = written(banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    links = written(spread_join(banded, buckets, "band", "n", BANDS * total).filter("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct(), "candidates")
+    grouped = written(components(links), "components")
+    found = written(_links(grouped, links, rows), "links")
+    free(*made_since(earlier | {t._written_at for t in (rows, copies, found)}))
+    roots = written(components(found).filter("v <> root").select(F.col("v").alias("row"), "root"), "roots")
+    # the copies of a text go where it goes; a text with very many is joined by a broadcast
+    times = copies.groupBy("rep").agg(F.count("*").alias("n")).join(roots.select(F.col("row").alias("rep"), "root"), "rep", "left")
+    moved = spread_join(copies, times, "rep", "n", total).select("row", F.coalesce("root", "rep").alias("root")).union(roots)
     moved = written(moved, "moved")
     # class ids: only rows of classes of two and more are touched
     ids = rows.select(F.col("__nd_row").alias("row"), "doc_id")
-    members = moved.union(moved.select(F.col("root").alias("row"), "root").distinct()).join(ids, "row")
-    least = members.groupBy("root").agg(F.min("doc_id").alias("least"))
-    assigned = members.join(least, "root").select(F.col("row").alias("__nd_row"), F.col("root").alias("__nd_root"), F.col("least").alias("__nd_least"))
+    members = moved.union(moved.select(F.col("root").alias("row"), "root").distinct())
+    members = written(ids.join(sent_or_shuffled(members, BROADCAST_ROWS), "row"), "members")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    least = written(members.groupBy("root").agg(head.alias("head"), F.count("*").alias("n")).select("root", "n", F.col("head.doc_id").alias("least"), F.col("head.row").alias("first")), "least")
+    assigned = spread_join(members, least, "root", "n", total).select(F.col("row").alias("__nd_row"), F.col("first").alias("__nd_first"), F.col("least").alias("__nd_least"))
+    assigned = written(assigned, "assigned")
+    free(*made_since(earlier | {t._written_at for t in (rows, assigned)}))
+    assigned = sent_or_shuffled(assigned, BROADCAST_ROWS)
     out = rows.drop("__nd_key", "__nd_weight", "__nd_bands").join(assigned, "__nd_row", "left")
-    return out.select(*docs.columns, F.coalesce("__nd_least", "doc_id", -1 - F.col("__nd_row")).alias("class_id"), (F.col("__nd_row") == F.coalesce("__nd_root", "__nd_row")).alias("first"))
+    return out.select(*docs.columns, F.coalesce("__nd_least", "doc_id", -1 - F.col("__nd_row")).alias("class_id"), (F.col("__nd_row") == F.coalesce("__nd_first", "__nd_row")).alias("first"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
+#: Folders of tables that ``written`` has made and nothing has freed, oldest first.
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or in tests one of our own."""
+    """The folder that all executors see: ``spark.checkpoint.dir``, or, where all runs in one process as in tests, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors see")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexforge-"))
         path = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
@@ -45,7 +50,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     _made[root] = spark
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def made_since(before: set[str] | None = None) -> set[str]:
+    """Folders of the tables that there are now and weren't in ``before``."""
+    return set(_tables) - (before or set())
+
+
+def free(*tables: DataFrame | str) -> None:
+    """Delete tables made by ``written``, or their folders, that nothing reads any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else t._written_at
+        if spark := _tables.pop(path, None):
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Keys of over HOT_ROWS rows, and of over one HOT_KEYS-th of all rows, are hot: there are HOT_KEYS of them at most.
+HOT_ROWS = 500
+HOT_KEYS = 50_000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row a key, ``n`` is how many of the ``total`` rows have it): hot keys by a broadcast, so that no task
+    gets all rows of one; the others by a shuffle."""
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    few = groups.filter(hot)
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(groups.filter(~hot), key))
+
+
+def sent_or_shuffled(small: DataFrame, most: int) -> DataFrame:
+    """``small``, to be broadcast if it has ``most`` rows at most."""
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def let(value: Column, body) -> Column:

@@ -193,6 +193,13 @@ def first_difference(a: Column | str, b: Column | str) -> Column:
     return (F.array_position(differ, True) - 1).cast("long")
 
 
+def around(text: Column | str, at: Column | str, width: int = 20) -> Column:
+    """What stands up to ``width`` characters before and after place ``at`` (from 0); null where that is negative."""
+    t, i = _col(text), _col(at)
+    first = F.greatest(F.lit(0), i - width)
+    return F.when(i >= 0, F.substr(t, (first + 1).cast("int"), (i - first + width).cast("int")))
+
+
 def differences(a: Column | str, b: Column | str) -> Column:
     """How many places of two id sequences differ; what one of them lacks counts."""
     return F.size(F.filter(F.zip_with(_col(a), _col(b), lambda x, y: ~x.eqNullSafe(y)), lambda d: d)).cast("long")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import patterns as P
 from lexforge.functions import text as X
-from lexforge.operators import bpe, evaluate, frequency, mapping, selection
+from lexforge.operators import baseline, batch, bpe, evaluate, frequency, mapping, selection
 from lexforge.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,3 +476,89 @@ def markdown_code_extract(spark, sf_dir):
     k = F.col("turn") % 3
     fenced = F.when(k == 0, F.concat(F.lit("So:\n```python\nx = 1\n```\n```\n"), "text", F.lit(" \n```"))).when(k == 1, F.concat(F.lit("  "), "text", F.lit("\n"))).otherwise(F.col("text"))
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", X.code_of_markdown(fenced).alias("code"))
+
+
+@query("""SELECT doc_id, CASE WHEN d >= 0 THEN substr(text, greatest(0, d - 20) + 1, d - greatest(0, d - 20) + 20) END AS context FROM (
+SELECT a.doc_id, a.text, coalesce(list_position(list_transform(list_zip(string_split(a.text, ''), string_split(b.text, '')), lambda z: z[1] IS DISTINCT FROM z[2]), TRUE), 0) - 1 AS d
+FROM documents a JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang) AS head FROM documents) h ON a.doc_id = h.doc_id JOIN documents b ON b.doc_id = h.head WHERE a.text IS NOT NULL AND b.text IS NOT NULL)""")
+def first_diff_context(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    heads = docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("head"))
+    rows = docs.join(heads, "lang").filter("text IS NOT NULL AND head IS NOT NULL").withColumn("at", X.first_difference("text", "head"))
+    return rows.select("doc_id", X.around("text", "at").alias("context"))
+
+
+# ---- files of a corpus ---------------------------------------------------------------------------------------
+
+_LENGTHS = f"SELECT {_PATH} AS path, strlen(text)::BIGINT AS length FROM documents"
+
+
+def _sized(spark, sf_dir):
+    return _files(_docs(spark, sf_dir)).select("path", F.octet_length("text").cast("long").alias("length"))
+
+
+@query(f"SELECT path, length, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS kind FROM ({_LENGTHS}) WHERE lower(path[-3:]) IN ('.py', '.md') AND length BETWEEN 200 AND 200000 ORDER BY sha256('7:' || path), path LIMIT 60")
+def holdout_files(spark, sf_dir):
+    return corpus.holdout(_sized(spark, sf_dir), (".py", ".md"), 60, 7)
+
+
+@query(f"SELECT path, length FROM ({_LENGTHS}) WHERE lower(path[-3:]) = '.py' ORDER BY path LIMIT 100")
+def gathered_files(spark, sf_dir):
+    return corpus.gathered(_sized(spark, sf_dir), (".py",), 100)
+
+
+# ---- sequences of ids ----------------------------------------------------------------------------------------
+
+# ids that both sides can make: the lengths of words
+_IDS = "list_transform(string_split({0}, ' '), lambda w: length(w))"
+
+
+def _ids(text):
+    return F.transform(F.split(text, " "), lambda w: F.length(w))
+
+
+def _shown(*names):
+    return [F.array_join(F.col(n), ",").alias(n) for n in names]
+
+
+@query(f"""SELECT doc_id, array_to_string(list_concat(i, list_transform(range(len(i), 48), lambda x: 0)), ',') AS ids, array_to_string(list_transform(range(48), lambda x: (x < len(i))::INTEGER), ',') AS mask,
+ array_to_string(list_concat(list_transform(range(len(e), 48), lambda x: 0), e), ',') AS ends FROM (SELECT doc_id, l[1:40] AS i, l[greatest(1, len(l) - 39):len(l)] AS e FROM (SELECT doc_id, {_IDS.format("text")} AS l FROM documents WHERE text IS NOT NULL))""")
+def padded_sequences(spark, sf_dir):
+    ids, end = batch.truncated(_ids("text"), 40), batch.truncated(_ids("text"), 40, "left")
+    rows = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", batch.padded(ids, 48, 0).alias("ids"), batch.attention_mask(ids, 48).alias("mask"), batch.padded(end, 48, 0, "left").alias("ends"))
+    return rows.select("doc_id", *_shown("ids", "mask", "ends"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_IDS.format("text")} AS a, CASE WHEN doc_id % 5 > 0 THEN {_IDS.format("repeat(lang || ' ' || source || ' ', 1 + (doc_id % 9)::INTEGER)")} END AS b FROM documents WHERE text IS NOT NULL),
+ n AS (SELECT *, len(a) AS na, coalesce(len(b), 0) AS nb, greatest(0, len(a) + coalesce(len(b), 0) - 24) AS over FROM p),
+ c AS (SELECT *, least(over, abs(na - nb)) AS lead FROM n),
+ t AS (SELECT doc_id, a[1:na - (CASE WHEN na > nb THEN lead ELSE 0 END + (over - lead) // 2)] AS a, b[1:nb - (CASE WHEN nb > na THEN lead ELSE 0 END + (over - lead + 1) // 2)] AS b FROM c)
+SELECT doc_id, array_to_string(list_concat([101], a, CASE WHEN b IS NULL THEN [] ELSE list_concat([102], b) END, [102]), ',') AS ids,
+ array_to_string(list_concat(list_transform(range(len(a) + CASE WHEN b IS NULL THEN 2 ELSE 2 END), lambda x: 0), CASE WHEN b IS NULL THEN [] ELSE list_transform(range(len(b) + 1), lambda x: 1) END), ',') AS types FROM t""")
+def pair_sequences(spark, sf_dir):
+    second = F.when(F.col("doc_id") % 5 > 0, _ids(F.repeat(F.concat("lang", F.lit(" "), "source", F.lit(" ")), (1 + F.col("doc_id") % 9).cast("int"))))
+    rows = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", _ids("text").alias("a"), second.alias("b"))
+    a, b = batch.pair_truncated("a", F.coalesce("b", F.array().cast("array<int>")), 24)
+    cut = rows.select("doc_id", a.alias("a"), F.when(F.col("b").isNotNull(), b).alias("b"))
+    return cut.select("doc_id", batch.joined("a", "b", (101,), (102,), (102,)).alias("ids"), batch.type_ids("a", "b", 1, 1, 1).alias("types")).select("doc_id", *_shown("ids", "types"))
+
+
+@query(f"""SELECT doc_id, n_different FROM (SELECT doc_id, len(list_filter(list_zip({_IDS.format("text")}, {_IDS.format("replace(text, 'the', 'a')")}), lambda z: z[1] IS DISTINCT FROM z[2]))::BIGINT AS n_different FROM documents WHERE text IS NOT NULL) WHERE n_different > 0""")
+def id_differences(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter("text IS NOT NULL")
+    return baseline.id_differences(docs, _ids("text"), _ids(F.replace("text", F.lit("the"), F.lit("a"))))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def bpe_decoded_by_join(spark, sf_dir):
+    codec = _codec(spark, sf_dir)
+    vocabulary = spark.createDataFrame(codec.vocabulary.rows(), "id int, token string, kind string")
+    back = bpe.decoded_by_join(_docs(spark, sf_dir).select("doc_id", codec.encode_column("text").alias("ids")), vocabulary)
+    return back.select("doc_id", mapping.restored("text", codec.words).alias("text"))
+
+
+@query("SELECT tokenizer, count(*)::BIGINT AS n_files, sum(strlen(text))::BIGINT AS n_bytes, sum(CASE tokenizer WHEN 'bytes' THEN strlen(text) ELSE length(text) END)::BIGINT AS n_tokens, count(*)::BIGINT AS n_exact FROM documents, (VALUES ('bytes'), ('chars')) t(tokenizer) WHERE text IS NOT NULL GROUP BY tokenizer")
+def baseline_benchmark(spark, sf_dir):
+    records = baseline.benchmark(_docs(spark, sf_dir), [baseline.raw_bytes(), baseline.characters()])
+    names = ("tokenizer", "n_files", "n_bytes", "n_tokens", "n_exact")
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in records], "tokenizer string, n_files long, n_bytes long, n_tokens long, n_exact long")

@@ -109,8 +109,27 @@ class AttentionModel:
     def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return self._forward((x - self.mean) / self.scale, counts)[-1]
 
+    def gradient(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of bags with labels y, with respect to the weights; worked out by hand."""
+        starts, bag, h, v, u, a, z, p = self._forward(x, counts)
+        w = self.w
+        dz = ((p - y) / len(y)).astype(x.dtype)
+        grad = {"c": z.T @ dz, "b": np.array([dz.sum()], x.dtype)}
+        dbag = dz[:, None] * w["c"]
+        da = (dbag[bag] * h).sum(axis=1)
+        ds = a * (da - _sum(a * da, starts)[bag])
+        dh = a[:, None] * dbag[bag]
+        vu = ds[:, None] * w["w"]
+        grad["w"] = (v * u).T @ ds
+        dv, du = vu * u * (1 - v * v), vu * v * u * (1 - u)
+        grad["V"], grad["U"] = h.T @ dv, h.T @ du
+        dh += dv @ w["V"].T + du @ w["U"].T
+        dh *= 1 - h * h
+        grad["E"], grad["e"] = x.T @ dh, dh.sum(axis=0)
+        return grad
+
     def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> AttentionModel:
-        """Adam on batches of bags; the gradient is worked out by hand."""
+        """Adam on batches of bags."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         x = (x - self.mean) / self.scale
         # start from the share of the labels, so that few or one-sided labels give just that
@@ -127,21 +146,7 @@ class AttentionModel:
                 some = order[lo : lo + 64]
                 rows = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in some])
                 xb, nb = x[rows], counts[some]
-                starts, bag, h, v, u, a, z, p = self._forward(xb, nb)
-                w = self.w
-                dz = ((p - y[some]) / len(some)).astype(np.float32)
-                grad = {"c": z.T @ dz, "b": np.array([dz.sum()], np.float32)}
-                dbag = dz[:, None] * w["c"]
-                da = (dbag[bag] * h).sum(axis=1)
-                ds = a * (da - _sum(a * da, starts)[bag])
-                dh = a[:, None] * dbag[bag]
-                vu = ds[:, None] * w["w"]
-                grad["w"] = (v * u).T @ ds
-                dv, du = vu * u * (1 - v * v), vu * v * u * (1 - u)
-                grad["V"], grad["U"] = h.T @ dv, h.T @ du
-                dh += dv @ w["V"].T + du @ w["U"].T
-                dh *= 1 - h * h
-                grad["E"], grad["e"] = xb.T @ dh, dh.sum(axis=0)
+                grad, w = self.gradient(xb, nb, y[some]), self.w
                 rate = RATE * (1 - epoch / EPOCHS) + 1e-4
                 for k, d in grad.items():
                     d = d + DECAY * w[k]
@@ -191,7 +196,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, whole: bool) -> Iterator[pa
 def scored(docs: DataFrame, model: AttentionModel, whole: bool = True) -> DataFrame:
     """``docs`` (with or without the text) and ``__score``, the chance that a text is of quality.
 
-    A null text is scored as an empty one, which is one empty passage. Without labels, or with labels of one kind only, scores are near
+    A null text is scored as an empty one, which is one empty passage; texts of any length are scored whole. Columns keep their names. Without labels, or with labels of one kind only, scores are near
     the labels' share, and one half without any. Repeated rows have equal scores; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights

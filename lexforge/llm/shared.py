@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -182,6 +183,14 @@ def chunks(batches, most: int = 1 << 21):
             to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most)))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what a worker, which other tasks will use again, has freed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def bytes_of(batch) -> list[bytes]:

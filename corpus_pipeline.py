@@ -36,31 +36,46 @@ def _stage(work):
 
 @_stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the quality rules keep."""
+    """What the quality rules keep, with all columns.
+
+    Null and empty texts have too few words and go; texts are judged whole. Equal texts of one language have one verdict. A null language is one of its own.
+    """
     return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the classifier keeps; it learns from the labelled documents among ``docs``."""
+    """What the classifier keeps, with all columns; it learns from the labelled documents among ``docs``.
+
+    A null text is scored as an empty one; equal texts have equal scores, and a score of just the cut stays. Without labels all scores are one half, and all documents stay.
+    """
     return quality_mil.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 @_stage
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, with all columns: that of the smallest doc_id, null ones last; of equal ones the first read.
+
+    Null and empty texts are near-duplicates of nothing and stay. Repeated rows are copies.
+    """
     return near_dedup.one_of_each(docs)
 
 
 @_stage
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data, and terms that disclose them, replaced; ``n_chars`` follows the text."""
+    """The documents with personal data, and terms that disclose them, replaced; ``n_chars`` follows the text, all other columns stay.
+
+    Null texts stay null. Equal texts become equal texts; spans that overlap go under one mark.
+    """
     return sanitise.clean_documents(docs)
 
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and where they lie in the training sequences."""
+    """The pieces of the documents and where they lie in the training sequences.
+
+    A null text is an empty one, which is one piece of one id. Repeated rows and null doc_ids are documents of their own. Of bins that fit equally well any may take a piece.
+    """
     return packing.packed(docs)
 
 

@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import near_dedup, packing, quality_mil, quality_rules, sanitise
-from lexforge.llm.shared import free, made_since, table, written
+from lexforge.llm.shared import bounded_batches, free, made_since, table, written
 
 _left: set[str] = set()
 
@@ -23,6 +23,7 @@ def _stage(work):
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         global _left
+        bounded_batches(spark)
         if _left and not any(t.rsplit("/", 1)[-1] in f for f in docs.inputFiles() for t in _left):
             free(*_left)
             _left = set()

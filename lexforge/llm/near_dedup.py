@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,22 +152,24 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars until every edge leads to a smallest vertex. Stars are made with a minimum per vertex and a join, in
     which vertices of very many edges are broadcast: their edges are neither collected nor dealt to one task.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    total, before = now.count(), None
+    metrics = (F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("hash"))
+    seen = Observation()
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges", seen, *metrics)
+    mark = seen.get
     while True:
+        before, total = mark, mark["n"]
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
         large = spread_join(both.filter("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.union(least.filter("m < a").select("a", F.col("m").alias("b"))).filter("a > b").distinct(), "large")
         low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
         small = spread_join(large, low, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = written(small.union(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct(), "edges")
+        seen = Observation()
+        new = written(small.union(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct(), "edges", seen, *metrics)
         free(now, least, large, low)
-        now = new
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now, mark = new, seen.get
         if mark == before:
             return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
-        total, before = mark[0], mark
 
 
 class Classes:
@@ -262,8 +264,8 @@ def _parts(rows, weight):
     return F.greatest(F.ceil(rows / UNIT_ROWS), F.ceil(weight / UNIT_WEIGHT), F.lit(1)).cast("int")
 
 
-def _links(grouped: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect every class within the components ``grouped`` (v, root), and no others.
+def _links(grouped: DataFrame, candidates: DataFrame, rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(a, b): verified links that connect every class within the components ``grouped`` (v, root), and no others; whether each b is the smallest of its class.
 
     A component that fits in a task is one. In a larger one each row is first compared with the head of one of its buckets; rows so linked
     are one class. Then classes are dealt into blocks (a large one has blocks of its own, small ones share), and each pair of blocks is a
@@ -277,7 +279,7 @@ def _links(grouped: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFr
     small = sized.join(sizes.filter("parts > 1"), "root", "left_anti").select(F.col("v").alias("__nd_row"), "root", F.col("v").alias("class"))
     links = text_of(written(small, "units")).groupBy("root").applyInArrow(_verify, "a long, b long").filter("a <> b")
     if sizes.filter("parts > 1").isEmpty():
-        return links
+        return links, True  # each component was in one task, which has found whole classes
     links = written(links, "links")
     large = written(spread_join(sized.withColumnRenamed("w", "weight"), sizes.filter("parts > 1").select("root", "n", "parts"), "root", "n", total), "large")
     heads = candidates.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("head"))
@@ -288,7 +290,7 @@ def _links(grouped: DataFrame, candidates: DataFrame, rows: DataFrame) -> DataFr
     leaders = counts.select(F.col("head").alias("__nd_row"), "head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     stars = text_of(written(members.unionByName(leaders), "stars")).groupBy("head", "chunk").applyInArrow(_verify_star, "a long, b long")
     stars = written(stars, "links")
-    return links.unionByName(stars).unionByName(_between(large, stars, text_of, total))
+    return links.unionByName(stars).unionByName(_between(large, stars, text_of, total)), False
 
 
 def _between(large: DataFrame, stars: DataFrame, text_of, total: int) -> DataFrame:
@@ -341,9 +343,10 @@ def classed(docs: DataFrame) -> DataFrame:
     buckets = written(banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     links = written(spread_join(banded, buckets, "band", "n", BANDS * total).filter("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct(), "candidates")
     grouped = written(components(links), "components")
-    found = written(_links(grouped, links, rows), "links")
+    found, whole = _links(grouped, links, rows)
+    found = written(found, "links")
     free(*made_since(earlier | {t._written_at for t in (rows, copies, found)}))
-    roots = written(components(found).filter("v <> root").select(F.col("v").alias("row"), "root"), "roots")
+    roots = found.select(F.col("a").alias("row"), F.col("b").alias("root")) if whole else written(components(found).filter("v <> root").select(F.col("v").alias("row"), "root"), "roots")
     # the copies of a text go where it goes; a text with very many is joined by a broadcast
     times = copies.groupBy("rep").agg(F.count("*").alias("n")).join(roots.select(F.col("row").alias("rep"), "root"), "rep", "left")
     moved = spread_join(copies, times, "rep", "n", total).select("row", F.coalesce("root", "rep").alias("root")).union(roots)

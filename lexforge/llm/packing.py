@@ -26,8 +26,10 @@ FAN_IN = 16
 SLACK = 16
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes that a process keeps of words it has encoded, and words encoded in one call.
-KNOWN_BYTES = 40_000_000
+KNOWN_BYTES = 32_000_000
 SLICE = 20_000
+#: Bytes of text that a worker looks at together.
+CHUNK = 1 << 20
 BROADCAST_BINS = 1 << 18
 #: Open sequences that a node sends up at most, the emptiest; its others are final as they are. It matters only where texts are such that few fit together.
 OPEN = 1 << 16
@@ -198,7 +200,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int)
     tokenizer = tokenizer_of(path)
     docs, piece, start, length, crc = array("q"), array("i"), array("q"), array("q"), array("q")
     nulls: list[int] = []
-    for batch in chunks(batches):
+    for batch in chunks(batches, CHUNK):
         for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.many([t or "" for t in batch.column("text").to_pylist()]), strict=True):
             for k in range(0, len(ids), capacity):
                 part = ids[k : k + capacity]

@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
@@ -44,13 +44,16 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+def written(df: DataFrame, name: str, seen: Observation | None = None, *metrics: Column) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    ``seen`` gets the metrics of the rows as they are written, which saves reading them for it.
+    """
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/lexforge-{spark.sparkContext.applicationId}"
     _made[root] = spark
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.observe(seen, *metrics) if seen else df).write.parquet(path)
     _tables[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -94,7 +97,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Rows and bytes of an Arrow batch at most: rows are texts, and each batch is held by the JVM and by a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on in this session. A session that asks for smaller batches keeps them."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        plain = re.fullmatch(r"(\d+)b?", now or "")
+        if not plain or not 0 < int(plain[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,11 +4,12 @@ Index: unit vectors are dealt to the nearest of some centroids, and what is left
 is kept packed, with correction scalars: the length of the rest, and the inner product of the rotated rest and its code. Search: a query is rotated
 as well and each component rounded to BITS bits. Its inner product with a code is a sum of population counts of packed words; divided by the scalar it estimates the
 cosine without bias, and its error is bounded with high probability by a multiple of sqrt((1 - a^2) / a^2 / (D - 1)), a being the scalar, and of
-what rounding has left. The vectors of the best estimates are compared exactly, in double precision, and then all whose upper bound reaches the k-th best of those.
+what rounding has left. Each query is compared with a sample of bounded size first; the k-th best of the sample's rows in its cells is a floor. Vectors whose upper bound reaches
+the floor are compared exactly, in double precision; where those are many, the best estimates come first and raise the floor.
 
 Every row is in the index. A query looks into the cells whose centroids are nearest. How many, is measured: CALIBRATE queries are compared with all rows, and
 the least number that finds a share of RECALL of their neighbours is taken. Where vectors lie in groups that is a few cells, so work grows with queries times cells' rows;
-where they lie without any order, as in the tables made for tests, no index can leave out much. Cells and the queries that look into them are cut into parts of bounded size, and a task gets one part of each. Of equal vectors only the
+where they lie without any order, as in the tables made for tests, no index can leave out much, and estimates grow with queries times rows, though few vectors are compared exactly. Cells and the queries that look into them are cut into parts of bounded size, and a task gets one part of each. Of equal vectors only the
 k + 1 of smallest ids can be among the k nearest of any query, so a vector that very many rows share takes no more room than that.
 """
 
@@ -42,26 +43,33 @@ SAMPLE_BYTES = 1 << 26
 ROUNDS = 6
 #: Bytes of the vectors of a part.
 PART_BYTES = 1 << 21
-#: Words that one step of estimating looks at.
-STEP = 1 << 21
+#: Pairs of a query and a code that one step of estimating looks at, and components of exact comparisons: they stay in the processor's cache.
+STEP = 1 << 16
+#: By how much a cosine may be less than a floor, for rounding.
+SLACK = 1e-9
 
 
 def width_of(dim: int) -> int:
     return max(WIDTH, 1 << (dim - 1).bit_length())
 
 
+def hadamard(size: int) -> np.ndarray:
+    h = np.ones((1, 1), np.float32)
+    while len(h) < size:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
 def rotated(x: np.ndarray, width: int) -> np.ndarray:
-    """Rows padded with zeros and turned: three times random signs and a Walsh-Hadamard transform, which takes no matrix."""
+    """Rows padded with zeros and turned: three times random signs and a Walsh-Hadamard transform, as two products with matrices of about the root of its size."""
     y = np.zeros((len(x), width), np.float32)
     y[:, : x.shape[1]] = x
     rng = np.random.default_rng(SEED)
+    right = 1 << width.bit_length() // 2
+    outer, inner = hadamard(width // right), hadamard(right)
     for _ in range(3):
         y *= rng.choice(np.array([-1, 1], np.float32), width)
-        h = 1
-        while h < width:
-            z = y.reshape(len(y), -1, 2, h)
-            y = np.stack([z[:, :, 0] + z[:, :, 1], z[:, :, 0] - z[:, :, 1]], axis=2).reshape(len(y), width)
-            h *= 2
+        y = (outer @ (y.reshape(-1, right) @ inner).reshape(len(y), len(outer), right)).reshape(len(y), width)
         y *= np.float32(width**-0.5)
     return y
 
@@ -165,13 +173,32 @@ def _probes(index: DataFrame, asking: DataFrame, means: dict[int, np.ndarray], k
     return out
 
 
-def _asked(batches: Iterator[pa.RecordBatch], sent, probes: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def _floors(ids: np.ndarray, q: np.ndarray, near: np.ndarray, cells: int, some: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """For each query (a row of unit vectors q) the k-th largest cosine with the sample's rows (ids, unit vectors, cells) in its cells; -inf if they are fewer."""
+    out = np.full(len(q), -np.inf)
+    if len(some[0]) < k:
+        return out
+    n = max(1, 4 * STEP // len(some[0]))
+    for lo in range(0, len(q), n):
+        looked = np.zeros((len(q[lo : lo + n]), cells), bool)
+        np.put_along_axis(looked, near[lo : lo + n], True, 1)
+        score = q[lo : lo + n] @ some[1].T
+        score[~looked[:, some[2]] | (ids[lo : lo + n, None] == some[0][None])] = -np.inf
+        out[lo : lo + n] = np.partition(score, -k, axis=1)[:, -k]
+    return out
+
+
+def _asked(batches: Iterator[pa.RecordBatch], sent, some, probes: dict[int, int], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, x in _by_length(batch.column("embedding")):
-            c = sent.value.get(x.shape[1])
-            near = np.argsort(-(units(x).astype(np.float32) @ c.T), axis=1, kind="stable")[:, : probes.get(x.shape[1], len(c))].astype(np.int32) if c is not None else np.zeros((len(x), 1), np.int32)
-            own = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array(list(near), pa.list_(pa.int32()))], names=[*own.schema.names, "dim", "cells"])
+            own, dim = batch.take(pa.array(rows)), x.shape[1]
+            near, floor = np.zeros((len(x), 1), np.int32), np.full(len(x), -np.inf)
+            if (c := sent.value.get(dim)) is not None:
+                unit = units(x)
+                near = np.argsort(-(unit.astype(np.float32) @ c.T), axis=1, kind="stable")[:, : probes.get(dim, len(c))].astype(np.int32)
+                floor = _floors(own.column("query_id").to_numpy(), unit, near, len(c), some.value[dim], k)
+            added = [pa.array(np.full(len(rows), dim, np.int32)), pa.array(floor), pa.array(list(near), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*own.columns, *added], names=[*own.schema.names, "dim", "floor", "cells"])
 
 
 def estimates(q: np.ndarray, code: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,12 +208,16 @@ def estimates(q: np.ndarray, code: np.ndarray, a: np.ndarray) -> tuple[np.ndarra
     low = y.min(axis=1, keepdims=True)
     step = np.maximum((y.max(axis=1, keepdims=True) - low) / ((1 << BITS) - 1), 1e-20)
     level = np.rint((y - low) / step).astype(np.uint8)
-    planes = np.stack([np.packbits((level >> k) & 1, axis=1).view("<u8") for k in range(BITS)], axis=1)
-    total = np.zeros((len(q), len(code)), np.int64)
-    n = max(1, STEP // max(1, code.size))
+    planes = [np.packbits((level >> k) & 1, axis=1).view("<u8") for k in range(BITS)]
+    total = np.zeros((len(q), len(code)), np.int32)
+    words = np.ascontiguousarray(code.T)
+    n = max(1, STEP // max(1, len(code)))
     for lo in range(0, len(q), n):
-        for k in range(BITS):
-            total[lo : lo + n] += np.bitwise_count(planes[lo : lo + n, None, k] & code[None]).sum(axis=2, dtype=np.int64) << k
+        for k, plane in enumerate(planes):
+            count = np.zeros((len(q[lo : lo + n]), len(code)), np.uint16 if width < 1 << 16 else np.int32)
+            for w, word in enumerate(words):
+                count += np.bitwise_count(plane[lo : lo + n, w, None] & word)
+            total[lo : lo + n] += count.astype(np.int32) << k
     ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
     whole = (low + step * level).sum(axis=1, keepdims=True)
     product = (2 * (low * ones + step * total) - whole) / np.sqrt(width)
@@ -194,29 +225,59 @@ def estimates(q: np.ndarray, code: np.ndarray, a: np.ndarray) -> tuple[np.ndarra
     return product / a, np.sqrt(np.maximum(0, 1 - a * a) / (width - 1) + rounding) / a
 
 
+def compared(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Inner products of q[rows] and x[cols], a few at a time."""
+    n = max(1, STEP // q.shape[1])
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[rows[i : i + n]], x[cols[i : i + n]]) for i in range(0, len(rows), n))])
+
+
+def candidates(q: np.ndarray, x: np.ndarray, estimate: np.ndarray, error: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the unit vectors q, and of x, for all pairs that may be among the k best of their row of q and reach its floor. An estimate of -inf is no pair."""
+    reach = estimate + error
+    fine = (reach >= floor[:, None]) & np.isfinite(estimate)
+    many = np.flatnonzero(np.count_nonzero(fine, axis=1) > 8 * k)
+    if len(many):
+        best = np.argpartition(-estimate[many], 8 * k - 1, axis=1)[:, : 8 * k]
+        known = compared(q, x, np.repeat(many, 8 * k), best.ravel()).reshape(-1, 8 * k)
+        floor = floor.copy()
+        floor[many] = np.maximum(floor[many], np.partition(known, -k, axis=1)[:, -k] - SLACK)
+        fine[many] &= reach[many] >= floor[many, None]
+    rows, cols = np.nonzero(fine)
+    score = compared(q, x, rows, cols)
+    order = np.lexsort((-score, rows))
+    rows, cols, score = rows[order], cols[order], score[order]
+    last = np.searchsorted(rows, rows) + k - 1
+    there = np.minimum(last, len(rows) - 1)
+    least = np.where((last < len(rows)) & (rows[there] == rows), score[there], -np.inf) if len(rows) else score
+    fine = score >= np.maximum(least, floor[rows]) - SLACK
+    return rows[fine], cols[fine]
+
+
 def _search(key, asked: pa.Table, cell: pa.Table, sent, k: int) -> pa.Table:
-    """The k nearest of each query in a part of a cell."""
+    """The k nearest of each query in a part of a cell, without those that are below the query's floor."""
     dim, at = key[0].as_py(), key[1].as_py()
     vectors = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     who, ids = asked.column("query_id").to_numpy(), cell.column("vec_id").to_numpy()
     if not len(who) or not len(ids):
         return _SCHEMA.empty_table()
     q, x = vectors(asked), vectors(cell)
-    unit, c = units(q), sent.value.get(dim)
+    unit, there, c = units(q), units(x), sent.value.get(dim)
     code = np.frombuffer(b"".join(cell.column("code").to_pylist()), "<u8").reshape(len(ids), -1)
-    length, a = cell.column("length").to_numpy().astype(np.float64), cell.column("a").to_numpy().astype(np.float64)
-    estimate, error = estimates(unit, code, np.maximum(a, 1e-6))
-    # a vector that is its centroid has no rest, hence no error
-    estimate = (unit @ c[at].astype(np.float64))[:, None] + length * estimate if c is not None else length * estimate
-    error = SPREAD * length * error + 1e-6
-    estimate[who[:, None] == ids[None]] = -np.inf  # a query is no candidate of its own
-    first = min(len(ids), 8 * k)
-    best = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
-    known = cosines(np.repeat(q, first, axis=0), x[best.ravel()]).reshape(len(q), first)
-    known[np.isinf(np.take_along_axis(estimate, best, 1))] = -np.inf
-    floor = np.sort(known, axis=1)[:, -k] if first >= k else np.full(len(who), -np.inf)
-    rows, cols = np.nonzero((estimate + error >= floor[:, None]) & np.isfinite(estimate))
-    score = np.concatenate([np.zeros(0), *(cosines(q[rows[i : i + 65536]], x[cols[i : i + 65536]]) for i in range(0, len(rows), 65536))])
+    length, a = cell.column("length").to_numpy().astype(np.float64), np.maximum(cell.column("a").to_numpy().astype(np.float64), 1e-6)
+    floor = asked.column("floor").to_numpy()
+    pairs = []
+    n = max(1, 4 * STEP // len(ids))
+    for lo in range(0, len(who), n):
+        some = unit[lo : lo + n]
+        estimate, error = estimates(some, code, a)
+        # a vector that is its centroid has no rest, hence no error
+        estimate = (some @ c[at].astype(np.float64))[:, None] + length * estimate if c is not None else length * estimate
+        estimate[who[lo : lo + n, None] == ids[None]] = -np.inf  # a query is no candidate of its own
+        rows, cols = candidates(some, there, estimate, SPREAD * length * error + 1e-6, floor[lo : lo + n], k)
+        pairs.append((rows + lo, cols))
+    rows, cols = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    m = max(1, 4 * STEP // dim)
+    score = np.concatenate([np.zeros(0), *(cosines(q[rows[i : i + m]], x[cols[i : i + m]]) for i in range(0, len(rows), m))])
     order = np.lexsort((ids[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
@@ -248,22 +309,29 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, recall: flo
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     some = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * max(lengths))))
-    sample = rows.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(some).toArrow().column("embedding").combine_chunks()
-    means = {x.shape[1]: centroids(units(x), n) for _, x in _by_length(sample) if (n := min(CELLS, -(-lengths[x.shape[1]] // CELL))) > 1}
-    sent = spark.sparkContext.broadcast(means)
+    sample = rows.select("vec_id", "embedding").orderBy(F.xxhash64("embedding"), "embedding", "vec_id").limit(some).toArrow()
+    ids, means, firsts = sample.column("vec_id").to_numpy(), {}, {}
+    for at, x in _by_length(sample.column("embedding").combine_chunks()):
+        if (n := min(CELLS, -(-lengths[x.shape[1]] // CELL))) > 1:
+            unit = units(x)
+            c = means[x.shape[1]] = centroids(unit, n)
+            # floors come from as many of the sample's rows as a part has at most
+            unit = unit[: max(1, PART_BYTES // (8 * x.shape[1]))]
+            firsts[x.shape[1]] = ids[at[: len(unit)]], unit, np.argmax(unit.astype(np.float32) @ c.T, axis=1)
+    sent, sent_firsts = spark.sparkContext.broadcast(means), spark.sparkContext.broadcast(firsts)
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     index = written(rows.mapInArrow(lambda b: _index(b, sent), f"vec_id long, embedding array<{element}>, n long, dim int, cell int, code binary, length float, a float"), "index")
     asking = usable(vectors).filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     asking = written(asking, "asking")
     probes = _probes(index, asking, means, k, recall)
-    asked = written(asking.mapInArrow(lambda b: _asked(b, sent, probes), f"query_id long, embedding array<{element}>, dim int, cells array<int>"), "asked")
+    asked = written(asking.mapInArrow(lambda b: _asked(b, sent, sent_firsts, probes, k), f"query_id long, embedding array<{element}>, dim int, floor double, cells array<int>"), "asked")
     found = _found(index, asked.withColumn("cell", F.explode("cells")).drop("cells"), sent, k)
-    # a query with fewer than k candidates in its cells (few rows, or nearly all equal to it) is asked of all cells of its length
+    # a query with fewer than k candidates in its cells (few rows, or nearly all equal to it) is asked of all cells of its length, without a floor
     found = written(found, "found")
     enough = found.groupBy("query_id").agg(F.sum("n").alias("had"))
-    short = written(asked.join(enough, "query_id", "left").filter(F.coalesce("had", F.lit(0)) < k).drop("had", "cells"), "short")
+    short = written(asked.join(enough, "query_id", "left").filter(F.coalesce("had", F.lit(0)) < k).drop("had", "cells").withColumn("floor", F.lit(float("-inf"))), "short")
     if not short.isEmpty():
-        everywhere = written(index.select("dim", "cell").distinct().join(short, "dim").select("query_id", "embedding", "dim", "cell"), "everywhere")
+        everywhere = written(index.select("dim", "cell").distinct().join(short, "dim").select("query_id", "embedding", "dim", "floor", "cell"), "everywhere")
         found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_found(index, everywhere, sent, k))
     single = found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -281,7 +349,7 @@ def _found(index: DataFrame, asked: DataFrame, sent, k: int) -> DataFrame:
     rows = index.join(sizes, ["dim", "cell"]).withColumns({"part": mine("vec_id", "parts"), "block": every("blocks")})
     queries = asked.join(sizes, ["dim", "cell"]).withColumns({"block": mine("query_id", "blocks"), "part": every("parts")})
     key = ["dim", "cell", "part", "block"]
-    left = queries.select(*key, "query_id", "embedding").groupBy(*key)
+    left = queries.select(*key, "query_id", "floor", "embedding").groupBy(*key)
     right = rows.select(*key, "vec_id", "n", "embedding", "code", "length", "a").groupBy(*key)
     return left.cogroup(right).applyInArrow(lambda at, q, c: _search(at, q, c, sent, k), "query_id long, vec_id long, n long, score double")
 

@@ -95,3 +95,35 @@ def test_ties_go_to_the_smaller_id(spark):
 
 def test_no_rows(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_rows_without_order_are_pruned_by_a_floor(spark, monkeypatch):
+    """What a query's cells send on doesn't grow with their number, though half of them or more are looked into; nothing is lost by it."""
+    rng = np.random.default_rng(11)
+    made = {}
+    monkeypatch.setattr(O, "written", lambda df, name, real=O.written: made.setdefault(name, real(df, name)))
+    for rows in (1500, 6000):
+        made.clear()
+        x = rng.standard_normal((rows, 32))
+        got = {}
+        for r in search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), recall=1.0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        want = brute(list(range(rows)), x)
+        assert {q: [i for _, i in best] for q, best in got.items()} == {q: [i for _, i in best] for q, best in want.items()}
+        assert made["found"].count() < 20 * len(want)
+
+
+def test_few_pairs_are_compared_exactly(monkeypatch):
+    """A part of a cell, queries whose floor is the 5th best of 20 times as many rows: of all pairs a few are compared, and none that reaches the floor is lost."""
+    rng = np.random.default_rng(12)
+    x, q, others = (O.units(rng.standard_normal((n, 64))) for n in (400, 50, 8000))
+    code, length, a = O.encoded(x)
+    estimate, error = O.estimates(q, code, a)
+    exact, pairs = q @ x.T, []
+    monkeypatch.setattr(O, "compared", lambda q, x, rows, cols, real=O.compared: (pairs.append(len(rows)), real(q, x, rows, cols))[1])
+    reach = O.SPREAD * error + 1e-6
+    for floor in (np.partition(q @ others.T, -5, axis=1)[:, -5], np.full(50, -np.inf)):
+        found = set(zip(*(v.tolist() for v in O.candidates(q, x, estimate, reach, floor, 5)), strict=True))
+        best = {(i, j) for i in range(50) for j in np.argsort(-exact[i])[:5].tolist() if exact[i, j] >= floor[i]}
+        assert best <= found <= {(i, j) for i, j in zip(*np.nonzero(exact >= floor[:, None] - 1e-6), strict=True)}
+    assert sum(pairs[:1]) < 0.1 * exact.size

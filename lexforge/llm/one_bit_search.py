@@ -244,12 +244,14 @@ def candidates(q: np.ndarray, x: np.ndarray, estimate: np.ndarray, error: np.nda
         fine[many] &= reach[many] >= floor[many, None]
     rows, cols = np.nonzero(fine)
     score = compared(q, x, rows, cols)
+    fine = score >= floor[rows] - SLACK
+    rows, cols, score = rows[fine], cols[fine], score[fine]
     order = np.lexsort((-score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     last = np.searchsorted(rows, rows) + k - 1
     there = np.minimum(last, len(rows) - 1)
     least = np.where((last < len(rows)) & (rows[there] == rows), score[there], -np.inf) if len(rows) else score
-    fine = score >= np.maximum(least, floor[rows]) - SLACK
+    fine = score >= least - SLACK
     return rows[fine], cols[fine]
 
 

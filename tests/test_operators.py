@@ -1,6 +1,10 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexforge.functions import patterns as P
 from lexforge.operators import bpe, evaluate, frequency, mapping, selection
 
 
@@ -116,6 +120,51 @@ def test_bpe(spark, tmp_path):
         bpe.train(bpe.piece_counts(rows), 200)
 
 
+def learnt(pieces, merges):
+    """Merges of {piece: n} by counting all pairs anew each time."""
+    first = len(P.SPECIAL_TOKENS)
+    ids = {bytes([b]): first + i for i, b in enumerate(bpe._BYTE[c] for c in sorted(bpe._TABLE))}
+    parts, out = {p: [bytes([b]) for b in p.encode()] for p in pieces}, []
+    while len(out) < merges:
+        count = Counter()
+        for p, part in parts.items():
+            for pair in zip(part, part[1:], strict=False):
+                count[pair] += pieces[p]
+        a, b = best = min(count, key=lambda x: (-count[x], ids[x[0]], ids[x[1]]), default=(None, None))
+        if count[best] < 2:
+            break
+        out.append(best)
+        ids.setdefault(a + b, first + len(ids))
+        for part in parts.values():
+            i = 0
+            while i + 1 < len(part):
+                if (part[i], part[i + 1]) == best:
+                    part[i : i + 2] = [a + b]
+                i += 1
+    return out
+
+
+@pytest.mark.parametrize("most, pairs, chunk", [(60, 1 << 18, 1 << 19), (1 << 20, 1 << 18, 1 << 19), (200, 7, 50)])
+def test_training_in_rounds(spark, monkeypatch, most, pairs, chunk):
+    draw = random.Random(5)
+    pieces = Counter("".join(draw.choices("abcé", (5, 3, 2, 1), k=draw.randint(1, 14))) for _ in range(400)) + Counter({"a" * 37: 3, "ab" * 20: 2})
+    had, build = [], bpe._Words.__init__
+
+    def noted(self, tokens, *rest):
+        had.append(len(tokens))
+        build(self, tokens, *rest)
+
+    monkeypatch.setattr(bpe, "DRIVER_TOKENS", most)
+    monkeypatch.setattr(bpe, "DRIVER_PAIRS", pairs)
+    monkeypatch.setattr(bpe, "WORKER_TOKENS", chunk)
+    monkeypatch.setattr(bpe._Words, "__init__", noted)
+    rows = spark.createDataFrame([(bpe.to_chars(p.encode()), n) for p, n in pieces.items()], "piece string, n long")
+    room = 70
+    vocabulary = bpe.train(rows, room + 256 + len(P.SPECIAL_TOKENS))
+    assert vocabulary.merges == learnt(pieces, room)
+    assert all(n <= 2 * most for n in had)  # the driver's share, whatever the pieces are
+
+
 def test_audit(spark):
     merges = spark.createDataFrame([(0, "\ue000", "\ue001"), (1, "a", "b"), (2, "\ue001", "\ue000")], "rank int, left string, right string")
     vocab = spark.createDataFrame([(0, "\ue000"), (1, "\ue001")], "id int, token string")

@@ -145,16 +145,14 @@ def split_text(text: Column | str, words: dict[str, str]) -> Column:
 
 
 def substituted_by_join(docs: DataFrame, mapping: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key`` and ``sub``, by joins alone. The mapping has CAPACITY rows at most, so it is broadcast."""
-    small = F.broadcast(mapping.select(F.col("word").alias("piece"), "pua"))
-    kinds = docs.select(F.explode(X.tokens_and_gaps("text")).alias("token")).distinct().join(F.broadcast(mapping.select(F.col("word").alias("token"), "pua")), "token", "left")
-    whole = kinds.filter("pua IS NOT NULL").select("token", F.col("pua").alias("sub"))
-    rest = kinds.filter(F.col("pua").isNull() & X.is_identifier("token")).select("token", F.posexplode(X.identifier_weave("token")).alias("i", "piece")).join(small, "piece", "left")
-    woven = rest.groupBy("token").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("pua", "piece").alias("p")))), lambda x: x["p"])).alias("sub")).filter("sub <> token")
-    spelled = whole.union(woven)
-    rows = docs.select(key, F.posexplode_outer(X.tokens_and_gaps("text")).alias("pos", "token")).join(spelled, "token", "left")
-    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("sub", "token").alias("p")))), lambda x: x["p"]))
-    return rows.groupBy(key).agg(joined.alias("sub"))
+    """``key`` and ``sub``, by joins alone. The mapping has CAPACITY rows at most, so it is broadcast; tokens are dealt out by ``key``, never by token."""
+    small = lambda c, pua: F.broadcast(mapping.select(F.col("word").alias(c), F.col("pua").alias(pua)))
+    rows = docs.select(key, F.posexplode_outer(X.tokens_and_gaps("text")).alias("pos", "token")).join(small("token", "whole"), "token", "left")
+    # what isn't an identifier, or is a single run, is one piece and has no character
+    woven = F.when(F.col("whole").isNull() & X.is_identifier("token"), X.identifier_weave("token")).otherwise(F.array("token"))
+    parts = rows.select(key, "pos", "whole", F.posexplode(woven).alias("i", "piece")).join(small("piece", "pua"), "piece", "left")
+    part = F.struct("pos", "i", F.coalesce("whole", "pua", "piece").alias("p"))
+    return parts.groupBy(key).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(part)), lambda x: x["p"])).alias("sub"))
 
 
 def restored(text: Column | str, words: dict[str, str]) -> Column:

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -120,6 +121,14 @@ def test_bpe(spark, tmp_path):
         bpe.train(bpe.piece_counts(rows), 200)
 
 
+def test_join_never_deals_out_by_token(spark):
+    table = spark.createDataFrame([(i, w, ord(c), c) for i, (w, c) in enumerate(MAP.items())], "rank int, word string, codepoint int, pua string")
+    out = mapping.substituted_by_join(docs(spark, *["a b return_x " * 50] * 3, None), table)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\((\w+)#", plan)) == {"doc_id"}
+    assert as_dict(out) == {0: "a b \ue000_x " * 50, 1: "a b \ue000_x " * 50, 2: "a b \ue000_x " * 50, 3: ""}
+
+
 def learnt(pieces, merges):
     """Merges of {piece: n} by counting all pairs anew each time."""
     first = len(P.SPECIAL_TOKENS)

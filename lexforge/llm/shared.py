@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.functions.batches import BATCH_BYTES, BATCH_ROWS, bounded_batches  # noqa: F401
+
 _made: dict[str, SparkSession] = {}
 #: Folders of tables that ``written`` has made and nothing has freed, oldest first.
 _tables: dict[str, SparkSession] = {}
@@ -97,19 +99,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Rows and bytes of an Arrow batch at most: rows are texts, and each batch is held by the JVM and by a worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """From now on in this session. A session that asks for smaller batches keeps them."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
-        plain = re.fullmatch(r"(\d+)b?", now or "")
-        if not plain or not 0 < int(plain[1]) <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexforge.functions import batches as A
 from lexforge.functions import patterns as P
 from lexforge.functions import text as X
 
@@ -120,6 +121,7 @@ def substituted(text: Column | str, words: dict[str, str]) -> Column:
 
 def split_text(text: Column | str, words: dict[str, str]) -> Column:
     """The pieces: stretches between tokens, characters of words and parts, tokens that stay."""
+    A.bounded_batches()
 
     @F.pandas_udf("array<string>")
     def cut(tokens: pd.Series, marks: pd.Series) -> pd.Series:

@@ -129,6 +129,22 @@ def test_join_never_deals_out_by_token(spark):
     assert as_dict(out) == {0: "a b \ue000_x " * 50, 1: "a b \ue000_x " * 50, 2: "a b \ue000_x " * 50, 3: ""}
 
 
+def test_batches_are_bounded(spark):
+    """What a worker gets at once, though the session asks for more."""
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(1 << 30))
+    texts = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("return é "), 400).alias("text"))
+
+    @F.pandas_udf("long")
+    def held(x):
+        return x.map(lambda _: len(x))
+
+    mapping.split_text("text", MAP)
+    assert texts.select(held("text").alias("n")).agg(F.max("n")).first()[0] <= 1000
+    sizes = texts.select(F.size(mapping.split_text("text", MAP)).alias("n")).distinct().collect()
+    assert [r.n for r in sizes] == [1600]
+
+
 def learnt(pieces, merges):
     """Merges of {piece: n} by counting all pairs anew each time."""
     first = len(P.SPECIAL_TOKENS)

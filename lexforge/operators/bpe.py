@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.functions import batches as A
 from lexforge.functions import patterns as P
 from lexforge.functions import text as X
 
@@ -511,6 +512,8 @@ class Codec:
         return data.decode("utf-8", "replace").translate(self.back)
 
     def decode_column(self, ids: Column | str, skip_special: bool = False) -> Column:
+        A.bounded_batches()
+
         @F.pandas_udf("string")
         def texts(batch: pd.Series) -> pd.Series:
             return pd.Series([None if x is None else self.decode(x, skip_special) for x in batch], dtype=object)

@@ -158,7 +158,8 @@ def substituted_by_join(docs: DataFrame, mapping: DataFrame, key: str = "doc_id"
 
 
 def restored(text: Column | str, words: dict[str, str]) -> Column:
-    """Back from ``substituted``: each mapped character becomes its word; texts without any stay in the JVM."""
+    """Back from ``substituted``: each mapped character becomes its word."""
+    A.bounded_batches()
     back = {ord(c): w for w, c in words.items()}
 
     @F.pandas_udf("string")

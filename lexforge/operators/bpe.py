@@ -484,6 +484,8 @@ class Codec:
     def encode_column(self, text: Column | str) -> Column:
         from lexforge.operators.mapping import substituted
 
+        A.bounded_batches()
+
         @F.pandas_udf("array<int>")
         def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             own = _codecs.setdefault(self.name, self)  # one for each process, with the pieces it has met
@@ -494,6 +496,7 @@ class Codec:
 
     def encode_words_column(self, words: Column | str) -> Column:
         """The ids of a text that is split already (an array of strings): those of its words, one after another."""
+        A.bounded_batches()
         joined = F.transform(F.col(words) if isinstance(words, str) else words, lambda w: F.coalesce(w, F.lit("")))
 
         @F.pandas_udf("array<int>")

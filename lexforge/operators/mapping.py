@@ -98,6 +98,7 @@ def substituted_text(text: str, words: dict[str, str]) -> str:
 
 def substituted(text: Column | str, words: dict[str, str]) -> Column:
     """The text with mapped words and parts as single characters. Tokens are found in the JVM; the dictionary is in the worker."""
+    A.bounded_batches()
 
     @F.pandas_udf("string")
     def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -30,6 +30,8 @@ DRIVER_TOKENS, DRIVER_PAIRS = 1 << 20, 1 << 18
 WORKER_TOKENS = 1 << 19
 #: Rounds after which pieces are merged from the start again, so that plans stay short.
 DEPTH = 10
+#: Pieces that a codec keeps with their ids, and how long they may be.
+KEPT, KEPT_CHARS = 1 << 17, 64
 _TABLE = P.byte_table()
 _BYTE = {c: b for b, c in enumerate(_TABLE)}
 _pieces = regex.compile(P.PIECES.removeprefix("(?U)"))
@@ -460,9 +462,11 @@ class Codec:
         for piece in _pieces.findall(text):
             ids = self.known.get(piece)
             if ids is None:
-                if len(self.known) > 500_000:
-                    self.known.clear()
-                ids = self.known[piece] = self.merged(piece.encode())
+                ids = self.merged(piece.encode())
+                if len(piece) <= KEPT_CHARS:
+                    if len(self.known) > KEPT:
+                        self.known.clear()
+                    self.known[piece] = ids
             out += ids
         return out
 

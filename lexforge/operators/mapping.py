@@ -15,6 +15,8 @@ from lexforge.functions import batches as A
 from lexforge.functions import patterns as P
 from lexforge.functions import text as X
 
+#: Tokens that a worker keeps with what becomes of them, and how long they may be.
+KEPT, KEPT_CHARS = 1 << 17, 64
 CAPACITY = sum(b - a + 1 for a, b in P.PUA_RANGES)
 
 
@@ -102,7 +104,8 @@ def substituted(text: Column | str, words: dict[str, str]) -> Column:
 
     @F.pandas_udf("string")
     def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, str] = {}
+        known: dict[str, str] = {}  # long tokens come again seldom
+        spell = lambda t: "".join(parts_of(t, words))
         for batch in batches:
             out = []
             for tokens in batch:
@@ -110,10 +113,10 @@ def substituted(text: Column | str, words: dict[str, str]) -> Column:
                     out.append(None)
                     continue
                 for t in tokens:
-                    if t not in known:
-                        known[t] = "".join(parts_of(t, words))
-                out.append("".join([known[t] for t in tokens]))
-                if len(known) > 500_000:
+                    if t not in known and len(t) <= KEPT_CHARS:
+                        known[t] = spell(t)
+                out.append("".join([known[t] if len(t) <= KEPT_CHARS else spell(t) for t in tokens]))
+                if len(known) > KEPT:
                     known.clear()
             yield pd.Series(out, dtype=object)
 

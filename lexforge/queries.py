@@ -451,12 +451,32 @@ def pattern_coverage(spark, sf_dir):
     return evaluate.coverage_of_patterns(patterns, frequency.boosted_frequency(_docs(spark, sf_dir)))
 
 
+#: Languages whose first text is broadcast; no other has more than a share of so many of the rows.
+HOT_LANGS = 256
+
+
+def _beside_heads(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and as head the text of the first document of the language; without null texts. No language is one: null stands for itself."""
+    docs = docs.select("doc_id", "text", "lang")
+    counts = docs.groupBy("lang").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(HOT_LANGS + 1).collect()
+    hot = counts[:HOT_LANGS]
+    of = lambda rows: rows.groupBy(F.col("lang").alias("__lang")).agg(F.min_by("text", "doc_id").alias("head"))
+    same = F.col("lang").eqNullSafe(F.col("__lang"))
+    firsts = docs.filter(F.col("doc_id").isin([r["first"] for r in hot if r["first"] is not None]))
+    names = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"],) for r in hot], "__lang string"))
+    # the first documents of other languages aren't their heads if a number occurs twice
+    heads = of(firsts.join(names, same, "left_semi"))
+    out = docs.join(F.broadcast(heads), same)
+    if len(counts) > len(hot):
+        rest = docs.join(names, same, "left_anti")
+        out = out.unionByName(rest.join(of(rest).hint("shuffle_merge"), same))
+    return out.filter("text IS NOT NULL AND head IS NOT NULL").select("doc_id", "text", "head")
+
+
 @query("""SELECT a.doc_id, (coalesce(list_position(list_transform(list_zip(string_split(a.text, ''), string_split(b.text, '')), lambda z: z[1] IS DISTINCT FROM z[2]), TRUE), 0) - 1)::BIGINT AS first_diff
 FROM documents a JOIN (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY lang) AS head FROM documents) h ON a.doc_id = h.doc_id JOIN documents b ON b.doc_id = h.head WHERE a.text IS NOT NULL AND b.text IS NOT NULL""")
 def first_diff(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    heads = docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("head"))
-    return docs.join(heads, "lang").filter("text IS NOT NULL AND head IS NOT NULL").select("doc_id", X.first_difference("text", "head").alias("first_diff"))
+    return _beside_heads(_docs(spark, sf_dir)).select("doc_id", X.first_difference("text", "head").alias("first_diff"))
 
 
 @query("""SELECT doc_id, (CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END)::BIGINT AS tokens, CASE WHEN length(text) <= 400 THEN text ELSE '[…truncated for API context limit…]' || chr(10) || right(text, 364) END AS tail,

@@ -502,9 +502,7 @@ def markdown_code_extract(spark, sf_dir):
 SELECT a.doc_id, a.text, coalesce(list_position(list_transform(list_zip(string_split(a.text, ''), string_split(b.text, '')), lambda z: z[1] IS DISTINCT FROM z[2]), TRUE), 0) - 1 AS d
 FROM documents a JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang) AS head FROM documents) h ON a.doc_id = h.doc_id JOIN documents b ON b.doc_id = h.head WHERE a.text IS NOT NULL AND b.text IS NOT NULL)""")
 def first_diff_context(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    heads = docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("head"))
-    rows = docs.join(heads, "lang").filter("text IS NOT NULL AND head IS NOT NULL").withColumn("at", X.first_difference("text", "head"))
+    rows = _beside_heads(_docs(spark, sf_dir)).withColumn("at", X.first_difference("text", "head"))
     return rows.select("doc_id", X.around("text", "at").alias("context"))
 
 

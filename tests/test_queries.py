@@ -30,7 +30,7 @@ def test_as_the_sql_says(spark, sf_dir, duck, name):
 
 
 @pytest.mark.parametrize("hot", [256, 1])
-@pytest.mark.parametrize("name", ["first_diff"])
+@pytest.mark.parametrize("name", ["first_diff", "first_diff_context"])
 def test_first_texts_of_languages(spark, tmp_path, monkeypatch, name, hot):
     """No task gets all texts of a language, and texts without one are compared as well."""
     monkeypatch.setattr(queries, "HOT_LANGS", hot, raising=False)
